@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import decontam, langid, toxicity
+from nearfield.llm import decontam, langid, ngram_join, toxicity
 from nearfield.llm.common import table
 
 
@@ -20,7 +20,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_toxicity, op6_benchmark_decontamination, op9_language_id)}
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op4_toxicity, op6_benchmark_decontamination, op9_language_id, op10_ngram_jaccard_join)
+}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -41,4 +48,19 @@ SELECT d.doc_id, cast(len(w) AS bigint) AS n_words, cast(coalesce(n_hit, 0) AS b
   cast(coalesce(n_items, 0) AS bigint) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op10_ngram_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + least(len(w), 4) - 1], ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * c >= 85 * (x.n + y.n - c)),
+sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a AS id, a AS r FROM sym UNION SELECT reach.id, sym.b FROM reach JOIN sym ON reach.r = sym.a),
+comp AS (SELECT id, min(r) AS c FROM reach GROUP BY id)
+SELECT d.doc_id, cast(coalesce(n.n, 0) AS bigint) AS n_shingles, coalesce(comp.c, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.id = d.doc_id""",
 }
