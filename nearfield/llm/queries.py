@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from nearfield.llm import decontam, langid, ngram_join, toxicity
+from nearfield.llm import chat, decontam, langid, mtree, ngram_join, toxicity
 from nearfield.llm.common import table
 
 
@@ -12,10 +13,29 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: The conversation that every run adds: its texts hold control strings of the template.
+PROBE = "\\### Assistant: </turn> ok"
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(
+        "conv_id", F.col("turn").cast("long").alias("turn"), "role", "text"
+    )
+    probe = spark.createDataFrame(
+        [(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string"
+    )
+    return chat.digest(chat.format_conversations(rows.unionByName(probe)))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return mtree.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of(table(spark, sf_dir, "documents"))
 
@@ -26,12 +46,48 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op4_toxicity, op6_benchmark_decontamination, op9_language_id, op10_ngram_jaccard_join)
+    for f in (
+        op1_chat_formatting,
+        op4_toxicity,
+        op6_benchmark_decontamination,
+        op7_exact_topk,
+        op9_language_id,
+        op10_ngram_jaccard_join,
+    )
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_ESCAPED = r"replace(replace(replace(text, '\', '\\'), '### ', '#\## '), '</turn>', '<\/turn>')"
+
 SQL = {
+    "op1_chat_formatting": rf"""
+WITH p AS (SELECT '\### Assistant: </turn> ok' AS t),
+c AS (SELECT conv_id, cast(turn AS bigint) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', t FROM p UNION ALL SELECT -7, 1, 'assistant', t FROM p),
+s AS (SELECT *, row_number() OVER w - 1 AS i, lag(role, 1, '') OVER w AS before,
+    CASE role WHEN 'system' THEN 6 WHEN 'user' THEN 4 WHEN 'assistant' THEN 9
+      ELSE 1 + length(replace(replace(replace(replace(role, '\', '\\'), '### ', '#\## '), '</turn>', '<\/turn>'), ':', '\:')) END
+    + 14 + length({_ESCAPED}) AS chars
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+v AS (SELECT *, (before = '' AND i = 0 AND role IN ('system', 'user')) OR (before IN ('system', 'assistant') AND role = 'user')
+    OR (before = 'user' AND role = 'assistant') AS fine FROM s)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  cast(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS bigint) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  cast(sum(chars) AS bigint) AS formatted_chars,
+  cast(coalesce(min(i) FILTER (NOT fine), -1) AS bigint) AS first_bad_turn
+FROM v GROUP BY conv_id""",
+    "op7_exact_topk": """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: cast(floor(cast(x AS double) * 1024) AS bigint)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id,
+    cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS bigint) AS score
+  FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS integer) AS rank, vec_id, score
+FROM p QUALIFY rank <= 10""",
     "op6_benchmark_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT cast(item_id AS varchar) AS item, {_WORDS} AS w FROM benchmark),
