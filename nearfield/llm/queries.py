@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import chat, decontam, langid, mtree, ngram_join, toxicity
+from nearfield.llm import chat, decontam, langid, mtree, ngram_join, packing, toxicity
 from nearfield.llm.common import table
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), path, packing.crc32_of).withColumnRenamed(
+        "measured", "ids_crc32"
+    )
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,6 +58,7 @@ QUERIES = {
     for f in (
         op1_chat_formatting,
         op4_toxicity,
+        op5_packing,
         op6_benchmark_decontamination,
         op7_exact_topk,
         op9_language_id,
