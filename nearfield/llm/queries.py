@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import chat, decontam, langid, mtree, ngram_join, packing, toxicity
+from nearfield.llm import chat, decontam, langid, mtree, ngram_join, packing, shards, toxicity
 from nearfield.llm.common import table
 
 
@@ -36,6 +36,20 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(rows.unionByName(probe)))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.reshard(shards.measured(table(spark, sf_dir, "documents")))
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "old_shard",
+    )
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,6 +71,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_formatting,
+        op3_sharding,
         op4_toxicity,
         op5_packing,
         op6_benchmark_decontamination,
