@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import chat, decontam, langid, mtree, ngram_join, packing, shards, toxicity
+from nearfield.llm import chat, decontam, html, langid, mtree, ngram_join, packing, shards, toxicity
 from nearfield.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of(table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ QUERIES = {
         op5_packing,
         op6_benchmark_decontamination,
         op7_exact_topk,
+        op8_html_extraction,
         op9_language_id,
         op10_ngram_jaccard_join,
     )
