@@ -6,7 +6,7 @@ order; grams are ordered by how often the corpus holds them (a count sketch over
 counters), so that the compared prefixes hold rare grams. Grams of prefixes are the tiles' keys, cut further into
 bands of set size, as sizes of linked sets differ by the threshold at most.
 
-Inside a tile a 512-bit signature bounds the overlap from above: each bit that one side has and the other lacks is
+Inside a tile a 1024-bit signature bounds the overlap from above: each bit that one side has and the other lacks is
 a gram not shared. Pairs that pass are intersected exactly. Copies by the thousand would make a tile quadratic, so
 three rounds run: each class first tests one leader of the tiles it is in, twice with different leaders, and the
 last round tests every pair of a tile that is not in one component yet. Links inside a component are implied, so
@@ -33,7 +33,7 @@ from nearfield.llm.common import LOWER, batches, binary_text, materialise
 SKETCH_BITS = 22
 SKETCH_BLOCKS = 64
 FILTER_BITS = 26
-LONGS = 8
+LONGS = 16
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -105,7 +105,7 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, width: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """doc_id, n, fingerprint of the set, 512-bit signature and the prefix grams of every row."""
+    """doc_id, n, fingerprint of the set, 1024-bit signature and the prefix grams of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
     bits = [f"b{k}" for k in range(LONGS)]
 
@@ -152,7 +152,10 @@ def _slot(column: str = "doc_id") -> Column:
 
 
 def _grams_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """doc_id and sorted grams of the documents in `wanted`, found by a bit table of fixed size before any shuffle."""
+    """doc_id and sorted grams of the documents in `wanted`, and of a few others that a bit table of fixed size lets in.
+
+    The bit table keeps texts that nothing asks for out of every shuffle; the joins that follow are exact.
+    """
     spark = docs.sparkSession
     words = (
         wanted.select(_slot().alias("s"))
@@ -181,7 +184,7 @@ def _grams_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     found = docs.select(F.col("doc_id").cast("long"), binary_text().alias("text"), _slot().alias("slot")).mapInArrow(
         run, "doc_id long, grams binary"
     )
-    return found.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return found
 
 
 def _may_link(percent: int, a: str = "a", b: str = "b") -> Column:
@@ -241,14 +244,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def _tiles(keys: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """Rows (key, doc_id, comp) of the keys that hold more than one component."""
+    """Rows (key, doc_id, comp) of the keys that hold more than one component: one shuffle by key."""
     rows = keys.withColumn("comp", F.col("doc_id"))
     if comp is not None:
         rows = keys.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
             "comp", F.coalesce("comp", "doc_id")
         )
-    span = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    return rows.join(span, "key", "left_semi")
+    same = Window.partitionBy("key")
+    span = rows.withColumn("lo", F.min("comp").over(same)).withColumn("hi", F.max("comp").over(same))
+    return span.filter("lo <> hi").select("key", "doc_id", "comp")
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -256,28 +260,24 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     sized = materialise(_signatures(docs, width, percent, _sketch(docs, width)))
     classes = sized.filter("n > 0").groupBy("p0", "p1", "n").agg(F.min("doc_id").alias("rep"))
     reps = materialise(
-        sized.drop("p0", "p1")
-        .join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-        .dropDuplicates(["doc_id"])
+        sized.drop("p0", "p1").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     )
     # a gram of one class only joins nothing; what is left is the only place where links can be
-    every = reps.select(F.explode("prefix").alias("key"), "doc_id")
-    keys = materialise(_tiles(every, None).select("key", "doc_id"))
-    gram_table = materialise(_grams_of(docs, keys, width))
+    keys = materialise(_tiles(reps.select(F.explode("prefix").alias("key"), "doc_id"), None).select("key", "doc_id"))
     base = -(-10000 // percent) / 100
     small = reps.drop("prefix").withColumn("band", F.floor(F.log("n") / F.lit(float(np.log(base)))).cast("int"))
     small = materialise(small.join(keys.select("doc_id").distinct(), "doc_id", "left_semi"))
 
     edges, comp = None, None
     for turn in range(3):
-        tiles = materialise(_tiles(keys, comp))
-        if turn < 2:
-            pairs = _to_leaders(tiles, small, percent, turn)
-        else:
-            pairs = _all_pairs(tiles, small, percent)
-        found = materialise(_verified(pairs, gram_table, percent))
+        tiles = materialise(_tiles(keys, comp)) if turn else keys.withColumn("comp", F.col("doc_id"))
+        pairs = _to_leaders(tiles, small, percent, turn) if turn < 2 else _all_pairs(tiles, small, percent)
+        pairs = materialise(pairs)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+        found = materialise(_verified(pairs, materialise(_grams_of(docs, wanted, width)), percent))
         edges = found if edges is None else edges.unionAll(found)
         comp = materialise(components(edges))
+        keys = tiles.select("key", "doc_id")
     labelled = classes.join(comp, classes.rep == comp.id, "left").select(
         "p0", "p1", "n", F.coalesce("comp", "rep").alias("comp")
     )

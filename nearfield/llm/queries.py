@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import chat, decontam, html, langid, mtree, ngram_join, packing, shards, toxicity
+from nearfield.llm import chat, decontam, html, langid, lm, mtree, ngram_join, packing, shards, toxicity
 from nearfield.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(rows.unionByName(probe)))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), lm.learned_from())
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.reshard(shards.measured(table(spark, sf_dir, "documents")))
     return placed.select(
@@ -75,6 +79,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_formatting,
+        op2_lm_scoring,
         op3_sharding,
         op4_toxicity,
         op5_packing,
