@@ -181,6 +181,22 @@ def identify(docs: DataFrame, model: Model, text_column: str = "text") -> DataFr
     return docs.mapInArrow(run, schema)
 
 
+def keep(docs: DataFrame, model: Model, limit: float = 0.5, text_column: str = "text") -> DataFrame:
+    """The rows of docs in a learned language, told with at least `limit`, with their columns."""
+    shared, where = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_column)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            column = batch.column(where).cast(pa.binary())
+            step = max(1, batch.num_rows * (2 << 20) // max(column.nbytes, 1))
+            for at in range(0, batch.num_rows, step):
+                lang, score = predict(column.slice(at, step).to_pylist(), shared.value)
+                good = [la != "und" and s >= limit for la, s in zip(lang, score, strict=True)]
+                yield batch.slice(at, step).filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def may_learn(mod: int, held: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod != held
 

@@ -303,6 +303,19 @@ def annotate(docs: DataFrame, model: Model, text_column: str = "text") -> DataFr
     return docs.mapInArrow(run, schema)
 
 
+def keep(docs: DataFrame, model: Model, limit: float = 0.5, text_column: str = "text") -> DataFrame:
+    """The rows of docs that score below the limit, with their columns."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_column)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = shared.value.automaton()
+        for batch in parts:
+            values = (scores([t.as_py()], shared.value, automaton)[0] for t in batch.column(at).cast(pa.binary()))
+            yield batch.filter(pa.array([v < limit for v in values], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(mod: int, held: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == held
 
