@@ -6,8 +6,9 @@ order; grams are ordered by how often the corpus holds them (a count sketch over
 counters), so that the compared prefixes hold rare grams. Grams of prefixes are the tiles' keys, cut further into
 bands of set size, as sizes of linked sets differ by the threshold at most.
 
-Inside a tile a 1024-bit signature bounds the overlap from above: each bit that one side has and the other lacks is
-a gram not shared. Pairs that pass are intersected exactly. Copies by the thousand would make a tile quadratic, so
+Inside a tile a 512-bit signature bounds the overlap from above: each bit that one side has and the other lacks is
+a gram not shared. Pairs that pass are tested again with a wider signature, and what is left is intersected exactly,
+the only step that moves whole sets. Copies by the thousand would make a tile quadratic, so
 three rounds run: each class first tests one leader of the tiles it is in, twice with different leaders, and the
 last round tests every pair of a tile that is not in one component yet. Links inside a component are implied, so
 components are exact; nothing is capped.
@@ -27,13 +28,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import LOWER, batches, binary_text, materialise
+from nearfield.llm.common import LOWER, batches, binary_text, lean, materialise
 
 #: Counters of the gram sketch, in blocks that are summed apart, and bits of the filter over candidate ids.
 SKETCH_BITS = 22
 SKETCH_BLOCKS = 64
 FILTER_BITS = 26
-LONGS = 16
+LONGS = 8
+#: Bits of the wider signature that pairs are tested with before their grams move.
+WIDE_BITS = 8192
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -96,8 +99,8 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
         )
 
     schema = "block int, counts binary"
-    rows = docs.select(binary_text().alias("text")).mapInArrow(count, schema)
-    rows = rows.repartition(SKETCH_BLOCKS, "block").mapInArrow(add, schema).collect()
+    rows = docs.select(binary_text().alias("text")).mapInArrow(lean(count), schema)
+    rows = rows.repartition(SKETCH_BLOCKS, "block").mapInArrow(lean(add), schema).collect()
     out = np.zeros((SKETCH_BLOCKS, block), np.uint8)
     for r in rows:
         out[r.block] = np.frombuffer(r.counts, np.uint8)
@@ -105,7 +108,7 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, width: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """doc_id, n, fingerprint of the set, 1024-bit signature and the prefix grams of every row."""
+    """doc_id, n, fingerprint of the set, 512-bit signature and the prefix grams of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
     bits = [f"b{k}" for k in range(LONGS)]
 
@@ -144,47 +147,61 @@ def _signatures(docs: DataFrame, width: int, percent: int, classes: np.ndarray)
             )
 
     schema = f"doc_id long, n long, p0 long, p1 long, {', '.join(f'{b} long' for b in bits)}, prefix array<long>"
-    return docs.select(F.col("doc_id").cast("long"), binary_text().alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), binary_text().alias("text")).mapInArrow(lean(run), schema)
 
 
 def _slot(column: str = "doc_id") -> Column:
     return F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
 
 
-def _grams_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """doc_id and sorted grams of the documents in `wanted`, and of a few others that a bit table of fixed size lets in.
-
-    The bit table keeps texts that nothing asks for out of every shuffle; the joins that follow are exact.
-    """
-    spark = docs.sparkSession
+def _wanted(ids: DataFrame) -> np.ndarray:
+    """A bit table of fixed size over the doc_ids of `ids`; it lets all of them through and few others."""
     words = (
-        wanted.select(_slot().alias("s"))
+        ids.select(_slot().alias("s"))
         .groupBy(F.shiftright("s", 5).cast("int").alias("w"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 31 as int))")).alias("v"))
         .toPandas()
     )
     table = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
     table[words.w.to_numpy(np.int64)] = words.v.to_numpy(np.int64).astype(np.uint32)
-    shared = spark.sparkContext.broadcast(table)
+    return table
+
+
+def _let_in(batch: pa.RecordBatch, table: np.ndarray) -> pa.RecordBatch:
+    """The rows of a batch (with their `slot`) that the bit table lets in."""
+    slot = batch.column("slot").to_numpy(zero_copy_only=False)
+    keep = (table[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
+    return batch.filter(pa.array(keep))
+
+
+def _grams_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """doc_id, sorted grams and wide signature of the documents in `wanted`, and of a few others.
+
+    The bit table keeps texts that nothing asks for out of every shuffle; the joins that follow are exact.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_wanted(wanted))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known = shared.value, WordHashes()
+        known = WordHashes()
         for batch in parts:
-            slot = batch.column(2).to_numpy(zero_copy_only=False)
-            keep = (table[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
-            part = batch.filter(pa.array(keep))
-            for texts, ids in batches(iter([part]), ["text", "doc_id"], 8 << 20):
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": pa.array(ids, pa.int64()),
-                        "grams": pa.array([grams(t, width, known).tobytes() for t in texts], pa.binary()),
-                    }
+            for texts, ids in batches(iter([_let_in(batch, shared.value)]), ["text", "doc_id"], 8 << 20):
+                found = [grams(t, width, known) for t in texts]
+                wide = [
+                    np.packbits(np.bincount((g & np.uint64(WIDE_BITS - 1)).astype(np.int64), minlength=WIDE_BITS) > 0)
+                    for g in found
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids, pa.int64()),
+                        pa.array([g.tobytes() for g in found], pa.binary()),
+                        pa.array([w.tobytes() for w in wide], pa.binary()),
+                        pa.array([len(g) for g in found], pa.int64()),
+                    ],
+                    names=["doc_id", "grams", "wide", "n"],
                 )
 
-    found = docs.select(F.col("doc_id").cast("long"), binary_text().alias("text"), _slot().alias("slot")).mapInArrow(
-        run, "doc_id long, grams binary"
-    )
-    return found
+    rows = docs.select(F.col("doc_id").cast("long"), binary_text().alias("text"), _slot().alias("slot"))
+    return rows.mapInArrow(lean(run), "doc_id long, grams binary, wide binary, n long")
 
 
 def _may_link(percent: int, a: str = "a", b: str = "b") -> Column:
@@ -199,12 +216,27 @@ def _may_link(percent: int, a: str = "a", b: str = "b") -> Column:
 
 
 def _verified(pairs: DataFrame, gram_table: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets truly reach the threshold."""
-    left = gram_table.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga"))
-    right = gram_table.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb"))
+    """The pairs (a, b) whose sets truly reach the threshold: by wide signatures first, then by intersection."""
+
+    def both_sides(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+        for side in ("a", "b"):
+            renamed = [F.col(c).alias(f"{c}_{side}") for c in columns]
+            pairs = pairs.join(table.select(F.col("doc_id").alias(side), *renamed), side)
+        return pairs
+
+    def bound(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for wa, wb, na, nb, a, b in batches(parts, ["wide_a", "wide_b", "n_a", "n_b", "a", "b"], 8 << 20):
+            x, y = (np.frombuffer(b"".join(w), np.uint64).reshape(len(a), -1) for w in (wa, wb))
+            na, nb = np.array(na, np.int64), np.array(nb, np.int64)
+            lacks = lambda p, q: np.bitwise_count(p & ~q).sum(1).astype(np.int64)
+            most = np.minimum(na - lacks(x, y), nb - lacks(y, x))
+            mask = pa.array((100 + percent) * most >= percent * (na + nb))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a, pa.int64()).filter(mask), pa.array(b, pa.int64()).filter(mask)], names=["a", "b"]
+            )
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ga, gb, a, b in batches(parts, ["ga", "gb", "a", "b"], 8 << 20):
+        for ga, gb, a, b in batches(parts, ["grams_a", "grams_b", "a", "b"], 8 << 20):
             keep = []
             for x, y in zip(ga, gb, strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -215,7 +247,20 @@ def _verified(pairs: DataFrame, gram_table: DataFrame, percent: int) -> DataFram
                 [pa.array(a, pa.int64()).filter(mask), pa.array(b, pa.int64()).filter(mask)], names=["a", "b"]
             )
 
-    return pairs.join(left, "a").join(right, "b").select("ga", "gb", "a", "b").mapInArrow(run, "a long, b long")
+    near = both_sides(pairs, gram_table, "wide", "n").select("wide_a", "wide_b", "n_a", "n_b", "a", "b")
+    near = materialise(near.mapInArrow(lean(bound), "a long, b long"))
+    table = gram_table.sparkSession.sparkContext.broadcast(
+        _wanted(near.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    )
+
+    def pick(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            part = _let_in(batch, table.value)
+            yield pa.RecordBatch.from_arrays(part.columns[:2], names=["doc_id", "grams"])
+
+    sets = gram_table.select("doc_id", "grams", _slot().alias("slot")).mapInArrow(lean(pick), "doc_id long, grams binary")
+    whole = both_sides(near, sets, "grams").select("grams_a", "grams_b", "a", "b")
+    return whole.mapInArrow(lean(run), "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -244,15 +289,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def _tiles(keys: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """Rows (key, doc_id, comp) of the keys that hold more than one component: one shuffle by key."""
+    """Rows (key, doc_id, band, comp) that share their key with another component in their band or the next one."""
     rows = keys.withColumn("comp", F.col("doc_id"))
     if comp is not None:
         rows = keys.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
             "comp", F.coalesce("comp", "doc_id")
         )
-    same = Window.partitionBy("key")
-    span = rows.withColumn("lo", F.min("comp").over(same)).withColumn("hi", F.max("comp").over(same))
-    return span.filter("lo <> hi").select("key", "doc_id", "comp")
+    near = Window.partitionBy("key").orderBy("band").rangeBetween(-1, 1)
+    span = rows.withColumn("lo", F.min("comp").over(near)).withColumn("hi", F.max("comp").over(near))
+    return span.filter("lo <> hi").select("key", "doc_id", "band", "comp")
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -263,10 +308,11 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         sized.drop("p0", "p1").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     )
     # a gram of one class only joins nothing; what is left is the only place where links can be
-    keys = materialise(_tiles(reps.select(F.explode("prefix").alias("key"), "doc_id"), None).select("key", "doc_id"))
     base = -(-10000 // percent) / 100
-    small = reps.drop("prefix").withColumn("band", F.floor(F.log("n") / F.lit(float(np.log(base)))).cast("int"))
-    small = materialise(small.join(keys.select("doc_id").distinct(), "doc_id", "left_semi"))
+    band = F.floor(F.log("n") / F.lit(float(np.log(base)))).cast("int").alias("band")
+    grams_of_reps = reps.select(F.explode("prefix").alias("key"), "doc_id", band)
+    keys = materialise(_tiles(grams_of_reps, None).drop("comp"))
+    small = materialise(reps.drop("prefix").join(keys.select("doc_id").distinct(), "doc_id", "left_semi"))
 
     edges, comp = None, None
     for turn in range(3):
@@ -277,7 +323,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         found = materialise(_verified(pairs, materialise(_grams_of(docs, wanted, width)), percent))
         edges = found if edges is None else edges.unionAll(found)
         comp = materialise(components(edges))
-        keys = tiles.select("key", "doc_id")
+        keys = tiles.drop("comp")
     labelled = classes.join(comp, classes.rep == comp.id, "left").select(
         "p0", "p1", "n", F.coalesce("comp", "rep").alias("comp")
     )
@@ -287,15 +333,15 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 
 def _to_leaders(tiles: DataFrame, small: DataFrame, percent: int, turn: int) -> DataFrame:
-    """One pair for each class: with the leader that it shares most keys with, if the bounds allow it."""
+    """One pair at most for each class: with the leader that it shares most tiles with, if the bounds allow it."""
     rank = F.struct((F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))).alias("order"), "doc_id", "comp")
-    leaders = tiles.groupBy("key").agg(F.min(rank).alias("l")).select("key", F.col("l.doc_id").alias("lead"), F.col("l.comp").alias("lead_comp"))
-    votes = tiles.join(leaders, "key").filter("comp <> lead_comp").groupBy("doc_id", "lead").count()
-    votes = votes.withColumnRenamed("doc_id", "one")
-    votes = votes.join(small.alias("a"), F.col("a.doc_id") == F.col("one"))
-    votes = votes.join(small.alias("b"), F.col("b.doc_id") == F.col("lead"))
-    votes = votes.filter(_may_link(percent)).select("one", "lead", "count")
-    best = votes.groupBy("one").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
+    rows = tiles.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    leaders = rows.groupBy("key", "tile").agg(F.min(rank).alias("l"))
+    leaders = leaders.select("key", "tile", F.col("l.doc_id").alias("lead"), F.col("l.comp").alias("lead_comp"))
+    votes = rows.join(leaders, ["key", "tile"]).filter("comp <> lead_comp").groupBy("doc_id", "lead").count()
+    best = votes.groupBy(F.col("doc_id").alias("one")).agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
+    best = best.join(small.alias("a"), F.col("a.doc_id") == F.col("one"))
+    best = best.join(small.alias("b"), F.col("b.doc_id") == F.col("lead")).filter(_may_link(percent))
     return best.select(F.least("one", "lead").alias("a"), F.greatest("one", "lead").alias("b")).distinct()
 
 
