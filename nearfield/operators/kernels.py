@@ -89,7 +89,7 @@ def knn(
 
 def _scan(base: DataFrame, block: list, k: int, metric: str) -> DataFrame:
     ids = np.array([i for i, _ in block], np.int64)
-    rows = np.array([v for _, v in block], np.float64).reshape(len(block), -1)
+    rows = np.array([v for _, v in block], np.float64) if block else np.zeros((0, 0))
     shared = base.sparkSession.sparkContext.broadcast((ids, rows))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +125,7 @@ def collected_centers(centers: DataFrame, center_id: str = "center_id", center:
     if size.n > MOST_CENTERS or size.c > MOST_COMPONENTS:
         raise ValueError(f"{size.n} centres with {size.c} components; use knn() from the other side")
     rows = centers.select(F.col(center_id).cast("long").alias("i"), F.col(center).alias("c")).orderBy("i").collect()
-    return np.array([r.i for r in rows], np.int64), np.array([r.c for r in rows], np.float64).reshape(len(rows), -1)
+    return np.array([r.i for r in rows], np.int64), np.array([r.c for r in rows], np.float64) if rows else np.zeros((0, 0))
 
 
 def nearest_centers(
