@@ -194,9 +194,10 @@ def cut(postings: DataFrame, limit: int) -> DataFrame:
 def cut_reachable(postings: DataFrame, limit: int) -> DataFrame:
     """Like `cut`, but a row that would be in no list keeps its nearest one, so that every row can be found."""
     marked = cut(postings, limit)
-    alone = ~F.max("kept").over(Window.partitionBy("vec_id"))
-    nearest = F.row_number().over(Window.partitionBy("vec_id").orderBy("dist", "center_id")) == 1
-    return marked.withColumn("kept", F.col("kept") | (alone & nearest)).filter("kept").drop("place", "kept")
+    own = Window.partitionBy("vec_id")
+    marked = marked.withColumn("alone", ~F.max("kept").over(own))
+    marked = marked.withColumn("choice", F.row_number().over(own.orderBy("dist", "center_id")))
+    return marked.filter("kept OR (alone AND choice = 1)").drop("place", "kept", "alone", "choice")
 
 
 def replica_histogram(postings: DataFrame, vectors: DataFrame) -> DataFrame:
