@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import binary_text, materialise
+from nearfield.llm.common import binary_text, lean, materialise
 
 #: Lower-cases A-Z, keeps digits, letters and every byte above 127, and turns all else into a space.
 WORD_BYTES = bytes(
@@ -92,7 +92,7 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             yield close()
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), binary_text(text_column).alias("text")).mapInArrow(
-        segments, INDEX_SCHEMA
+        lean(segments), INDEX_SCHEMA
     )
 
 
@@ -176,7 +176,7 @@ def _search_block(
                     names=["doc_id", "n_words", "spans", "items"],
                 )
 
-    return index.mapInArrow(search, HIT_SCHEMA)
+    return index.mapInArrow(lean(search), HIT_SCHEMA)
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import materialise
+from nearfield.llm.common import lean, materialise
 
 #: Tokens that a repeated passage has at least.
 REPEAT = 8
@@ -167,7 +167,7 @@ def parse(pages: DataFrame) -> DataFrame:
                 )
 
     schema = "page_id long, url string, host string, done boolean, text string, open array<string>"
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, schema)
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(lean(run), schema)
 
 
 def repeated(pages: DataFrame, least: int = REPEAT) -> DataFrame:
@@ -213,11 +213,11 @@ def repeated(pages: DataFrame, least: int = REPEAT) -> DataFrame:
 
     shards = (
         pages.select("host", "page_id", "open")
-        .mapInArrow(suffixes, "host string, head string, page_id long, at long")
+        .mapInArrow(lean(suffixes), "host string, head string, page_id long, at long")
         .repartition("host", "head")
         .sortWithinPartitions("host", "head", "page_id", "at")
     )
-    hits = shards.mapInArrow(neighbours, "page_id long, at long, n long")
+    hits = shards.mapInArrow(lean(neighbours), "page_id long, at long, n long")
     positions = F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("n") - 1)))
     return hits.groupBy("page_id").agg(F.array_distinct(positions).alias("covered"))
 
@@ -242,7 +242,7 @@ def without_repeats(pages: DataFrame, least: int = REPEAT) -> DataFrame:
             )
 
     joined = pages.join(repeated(pages, least), "page_id", "left").select("page_id", "url", "open", "covered")
-    return joined.mapInArrow(strip, "page_id long, url string, text string")
+    return joined.mapInArrow(lean(strip), "page_id long, url string, text string")
 
 
 def extract(pages: DataFrame, least: int = REPEAT) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import batches, binary_text
+from nearfield.llm.common import batches, binary_text, lean
 
 CODES = 48
 SAMPLE_DOCS = 500
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, docs_each: int = SAMPLE_DOCS) -> Model:
                 {"lang": pa.array([one] * len(keys), pa.string()), "gram": pa.array(keys), "n": pa.array(n)}
             )
 
-    grams = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = rows.mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = grams.toPandas()
     languages = sorted(found.lang.unique())
     histogram = np.bincount(found.gram & 255, weights=found.n, minlength=256)
@@ -170,7 +170,7 @@ def identify(docs: DataFrame, model: Model, text_column: str = "text") -> DataFr
         for batch in parts:
             column = batch.column(names.index(text_column))
             column = column.cast(pa.binary()) if not pa.types.is_binary(column.type) else column
-            step = max(1, batch.num_rows * (2 << 20) // max(column.nbytes, 1))
+            step = max(1, batch.num_rows * (1 << 18) // max(column.nbytes, 1))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 lang, score = predict(column.slice(at, step).to_pylist(), shared.value)
@@ -178,7 +178,7 @@ def identify(docs: DataFrame, model: Model, text_column: str = "text") -> DataFr
                     [*part.columns, pa.array(lang, pa.string()), pa.array(score)], names=names
                 )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def keep(docs: DataFrame, model: Model, limit: float = 0.5, text_column: str = "text") -> DataFrame:
@@ -188,13 +188,13 @@ def keep(docs: DataFrame, model: Model, limit: float = 0.5, text_column: str = "
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             column = batch.column(where).cast(pa.binary())
-            step = max(1, batch.num_rows * (2 << 20) // max(column.nbytes, 1))
+            step = max(1, batch.num_rows * (1 << 18) // max(column.nbytes, 1))
             for at in range(0, batch.num_rows, step):
                 lang, score = predict(column.slice(at, step).to_pylist(), shared.value)
                 good = [la != "und" and s >= limit for la, s in zip(lang, score, strict=True)]
                 yield batch.slice(at, step).filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def may_learn(mod: int, held: int) -> Column:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import LOWER, batches, binary_text, materialise
+from nearfield.llm.common import LOWER, batches, binary_text, lean, materialise
 
 HEAD = 200_000
 HEAD_WORD_BYTES = 64
@@ -110,7 +110,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     return (
         docs.select(binary_text().alias("text"))
-        .mapInArrow(run, "word binary, n long")
+        .mapInArrow(lean(run), "word binary, n long")
         .groupBy("word")
         .agg(F.sum("n").alias("n"))
     )
@@ -155,7 +155,7 @@ def class_counts(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"key": pa.array(at), "n": pa.array(total[at])})
 
-    rows = docs.select(binary_text().alias("text")).mapInArrow(run, "key long, n long")
+    rows = docs.select(binary_text().alias("text")).mapInArrow(lean(run), "key long, n long")
     found = rows.groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size, np.int64)
     out[found.key.to_numpy()] = found.n.to_numpy()
@@ -254,7 +254,7 @@ def score(docs: DataFrame, learned: Column) -> DataFrame:
                     total[ending.get(word[-2:], TARGET_ENDINGS)] += number + 1
         yield pa.RecordBatch.from_pydict({"bin": pa.array(range(len(total)), pa.int32()), "mass": pa.array(total)})
 
-    for r in counts.mapInArrow(bins, "bin int, mass long").groupBy("bin").agg(F.sum("mass").alias("m")).collect():
+    for r in counts.mapInArrow(lean(bins), "bin int, mass long").groupBy("bin").agg(F.sum("mass").alias("m")).collect():
         mass[first_bin + r.bin] += r.m
     shared = spark.sparkContext.broadcast((known, class_model.log10(), np.log10(mass)))
     log_ends = float(np.log10(ends + 1))
@@ -292,7 +292,7 @@ def score(docs: DataFrame, learned: Column) -> DataFrame:
     parts = materialise(
         docs.select(
             F.col("doc_id").cast("long"), (~learned).alias("held_out"), binary_text().alias("text")
-        ).mapInArrow(run, schema)
+        ).mapInArrow(lean(run), schema)
     )
     rest = (
         parts.select("row", F.explode("missing").alias("m"))

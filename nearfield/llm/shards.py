@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import binary_text, materialise, numbered
+from nearfield.llm.common import binary_text, lean, materialise, numbered
 
 OVERHEAD = 16
 OLD_SHARDS = 32
@@ -142,7 +142,7 @@ def reshard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
             task_id = pa.array(np.full(len(block), task, np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns, task_id, pa.array(slot)], names=names)
 
-    fixed = materialise(rows.mapInArrow(number, schema))
+    fixed = materialise(rows.mapInArrow(lean(number), schema))
     totals = fixed.groupBy("block").agg(
         F.first("old_shard").alias("old"), F.count("*").alias("n"), F.sum("size").alias("bytes")
     )
@@ -174,7 +174,7 @@ def reshard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     rows_names = rows.columns
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "shard int, slot long"])
-    return numbered(fixed, "block").select(*rows_names, "position").mapInArrow(place, out)
+    return numbered(fixed, "block").select(*rows_names, "position").mapInArrow(lean(place), out)
 
 
 def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
