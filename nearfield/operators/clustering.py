@@ -219,8 +219,7 @@ def probe(queries: DataFrame, centers: Centers, nprobe: int, max_ratio: float |
     found = found.select(F.col("vec_id").alias("query_id"), "center_id", F.col("rnk").alias("prnk"), "dist")
     if max_ratio is not None:
         nearest = F.min("dist").over(Window.partitionBy("query_id"))
-        bound = nearest * max_ratio
-        found = found.filter((bound <= 0.1) | (F.col("dist") <= bound))
+        found = found.withColumn("bound", nearest * max_ratio).filter("bound <= 0.1 OR dist <= bound").drop("bound")
     return found.drop("dist")
 
 
