@@ -155,6 +155,34 @@ def base64_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", plain.alias("b64"), F.octet_length(F.unbase64(plain)).cast("long").alias("n"))
 
 
+@query("""SELECT event_id, cast(list_reduce(list_transform(range(0, cast(length(h) / 2 AS bigint)), lambda i: cast('0x' || substr(h, cast(2 * i + 1 AS bigint), 2) AS integer)),
+ lambda a, b: xor(a, b)) AS integer) AS checksum FROM (SELECT event_id, hex(encode(event_type || event_id)) AS h FROM events)""")
+def xor_checksum(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/events.parquet")
+    return rows.select("event_id", V.checksum(F.encode(F.concat("event_type", F.col("event_id").cast("string")), "utf-8")).alias("checksum"))
+
+
+@query("""WITH s AS (SELECT vec_id, embedding AS x, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS y FROM embeddings),
+p AS (SELECT vec_id, x, y, list_filter(range(64), lambda i: x[i + 1] > 0) AS a, list_filter(range(64), lambda i: y[i + 1] > 0) AS b FROM s WHERE y IS NOT NULL)
+SELECT vec_id, cast(list_sum(list_transform(range(64), lambda i: CASE WHEN (x[i + 1] > 0) <> (y[i + 1] > 0) THEN 1 ELSE 0 END)) AS integer) AS hamming,
+ round(1.0::double - len(list_intersect(a, b))::double / len(list_distinct(list_concat(a, b))), 6) + 0.0 AS jaccard FROM p""")
+def set_distances(spark: SparkSession, d: str) -> DataFrame:
+    """The signs of each row's components as bits and as a set, against the next row of its label."""
+    pair = emb(spark, d).withColumn("y", F.lead("embedding").over(Window.partitionBy("label").orderBy("vec_id"))).filter("y IS NOT NULL")
+    bits = lambda c: F.transform(c, lambda v: v > 0)
+    places = lambda c: F.filter(F.transform(c, lambda v, i: F.when(v > 0, i)), lambda i: i.isNotNull())
+    return pair.select(
+        "vec_id", V.hamming(bits("embedding"), bits("y")).alias("hamming"), r6(V.jaccard(places("embedding"), places("y"))).alias("jaccard")
+    )
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id >= 100 ORDER BY event_id LIMIT 50")
+def key_range_scan(spark: SparkSession, d: str) -> DataFrame:
+    from nearfield.sources.formats import key_range
+
+    return key_range(spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type"), "event_id", 100, 50)
+
+
 # --- S2: exact search -----------------------------------------------------------------------------------------------
 
 
@@ -416,6 +444,22 @@ def posting_residuals(spark: SparkSession, d: str) -> DataFrame:
     return found.select("vec_id", "center_id", r6(V.dot("residual", "residual")).alias("square"))
 
 
+@query(f"WITH {NEAR} SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::double)), 5) + 0.0 AS total FROM near JOIN embeddings USING (vec_id) WHERE rnk <= 2 AND center_id = 3")
+def posting_dump(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of one inverted list with their vectors."""
+    e = emb(spark, d)
+    rows = nearest_centers(e, centers(e), 2).filter("center_id = 3").join(e, "vec_id")
+    return rows.select("vec_id", (F.round(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double")), 5) + 0.0).alias("total"))
+
+
+@query("SELECT query_id, string_agg(cast(vec_id AS varchar), '|' ORDER BY rnk) AS ids FROM (" + knn_sql(l2("b.embedding", "q.embedding")) + ") GROUP BY query_id")
+def result_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Results as one line of ids for each query."""
+    e = emb(spark, d)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("rnk", "vec_id"))), lambda s: s["vec_id"].cast("string"))
+    return knn(e, asked(e), K).groupBy("query_id").agg(F.array_join(ids, "|").alias("ids"))
+
+
 @query()
 def head_select_random(spark: SparkSession, d: str) -> DataFrame:
     return C.random_heads(emb(spark, d), 0.2).select("center_id")
