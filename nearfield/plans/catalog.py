@@ -660,7 +660,14 @@ def knn_graph(spark: SparkSession, d: str) -> DataFrame:
     return rounded(G.exact_graph(emb(spark, d), 8))
 
 
-@query()
+@query(f"""WITH RECURSIVE cand AS (SELECT src, dst, d, pos AS rn FROM ({_GRAPH})),
+near AS (SELECT c.*, list(k.dst ORDER BY k.rn) AS before, list({l2("x.embedding", "y.embedding")} ORDER BY k.rn) AS gaps
+ FROM cand c JOIN cand k ON k.src = c.src AND k.rn < c.rn JOIN embeddings x ON x.vec_id = c.dst JOIN embeddings y ON y.vec_id = k.dst GROUP BY ALL),
+g AS (SELECT src, 1::bigint AS rn, [dst] AS kept FROM cand WHERE rn = 1
+ UNION ALL SELECT g.src, g.rn + 1, CASE WHEN len(g.kept) < 4 AND len(list_filter(list_zip(n.before, n.gaps), lambda z: z[2] < n.d AND list_contains(g.kept, z[1]))) = 0
+  THEN list_append(g.kept, n.dst) ELSE g.kept END FROM g JOIN near n ON n.src = g.src AND n.rn = g.rn + 1),
+p AS (SELECT src, unnest(kept) AS dst, unnest(range(1, len(kept) + 1)) AS pos FROM g WHERE rn = 8)
+SELECT p.src, p.pos, p.dst, round(c.d, 6) + 0.0 AS dist FROM p JOIN cand c USING (src, dst)""")
 def rng_prune(spark: SparkSession, d: str) -> DataFrame:
     e = emb(spark, d)
     return rounded(G.pruned(G.exact_graph(e, 8), e, 4))
