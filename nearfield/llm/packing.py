@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import LOWER, batches, binary_text, materialise, numbered
+from nearfield.llm.common import LOWER, batches, binary_text, lean, materialise, numbered
 
 WINDOW = 2048
 CLASSES = 128
@@ -99,7 +99,8 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
         passive[new] = True
         while True:
             at = np.flatnonzero(passive)
-            s = np.linalg.lstsq(a[:, at], b, rcond=None)[0]
+            own = gram[np.ix_(at, at)]
+            s = np.linalg.solve(own + 1e-10 * np.trace(own) / len(at) * np.eye(len(at)), right[at])
             if s.min() > 0:
                 x[:] = 0
                 x[at] = s
@@ -135,12 +136,17 @@ def plan(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
         for j, c in enumerate(columns):
             for k in c:
                 a[k, j] += 1
-        for c, repeats in zip(columns, nnls(a[1:], left[1:].astype(float)), strict=True):
-            whole = int(min(np.floor(repeats + 1e-6), *(left[k] // c.count(k) for k in c)))
-            if whole > 0:
-                out.append((c, whole))
-                for k in c:
-                    left[k] -= whole
+        solved = nnls(a[1:], left[1:].astype(float))
+        # what rounding down leaves is offered to the exact combinations again, the largest fractions first
+        for turn, order in enumerate((range(len(columns)), np.argsort(-(solved % 1), kind="stable"))):
+            for j in order:
+                c = columns[j]
+                fits = min(left[k] // c.count(k) for k in c)
+                whole = int(fits if turn else min(np.floor(solved[j] + 1e-6), fits))
+                if whole > 0:
+                    out.append((c, whole))
+                    for k in c:
+                        left[k] -= whole
     while left.any():
         room, used, take = len(left) - 1, [], left.copy()
         while room and (fits := np.flatnonzero(take[: room + 1])).size:
@@ -182,7 +188,7 @@ def cut(docs: DataFrame, path: str, measure: Callable[[bytes], int], text_column
     schema = (
         "doc_id long, start long, length long, measured long, doc_tokens long, kind int, task_id int, slot_in_task long"
     )
-    return docs.select(F.col("doc_id").cast("long"), binary_text(text_column).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), binary_text(text_column).alias("text")).mapInArrow(lean(run), schema)
 
 
 def pack(docs: DataFrame, path: str, measure: Callable[[bytes], int], text_column: str = "text") -> DataFrame:
@@ -223,7 +229,7 @@ def pack(docs: DataFrame, path: str, measure: Callable[[bytes], int], text_colum
             )
 
     placed = numbered(pieces, "kind").mapInArrow(
-        place, "doc_id long, start long, length long, measured long, doc_tokens long, sequence_id long, place long"
+        lean(place), "doc_id long, start long, length long, measured long, doc_tokens long, sequence_id long, place long"
     )
     # a sequence has a bounded number of pieces: each fills a class at least
     before = (
@@ -265,7 +271,7 @@ def sequences(docs: DataFrame, path: str, placed: DataFrame, text_column: str =
                 )
 
     texts = docs.select(F.col("doc_id").cast("long"), binary_text(text_column).alias("text"))
-    pieces = texts.mapInArrow(run, "doc_id long, start long, ids array<int>")
+    pieces = texts.mapInArrow(lean(run), "doc_id long, start long, ids array<int>")
     joined = placed.select("doc_id", "start", "sequence_id", "offset").join(pieces, ["doc_id", "start"])
     flat = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda p: p["ids"]))
     n = F.size("ids_")
