@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import batches, binary_text
+from nearfield.llm.common import batches, binary_text, lean
 
 SAMPLE_DOCS = 4000
 SAMPLE_BYTES = 1 << 16
@@ -48,7 +48,7 @@ HOMOGLYPHS = str.maketrans(
 )
 #: Digits and signs that stand for letters between letters.
 SUBSTITUTES = str.maketrans("013457@$!|", "oieastasil")
-_SIGN = re.compile(r"(?<=[^\W\d_])[013457@$!|]+(?=[^\W\d_])|(?<![^\W_])[013457@$]+(?=[^\W\d_]{2})")
+_SIGN = re.compile(r"(?<=[^\W\d_])[013457@$!|]+(?=[^\W\d_])|(?<![^\W_])[013457@$]+(?=[^\W\d_])")
 _WORD = re.compile(r"\w+")
 
 
@@ -148,7 +148,7 @@ def _per_label(sample: DataFrame, seen_in) -> DataFrame:
             )
 
     return (
-        sample.mapInArrow(count, "feature string, toxic long, clean long")
+        sample.mapInArrow(lean(count), "feature string, toxic long, clean long")
         .groupBy("feature")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     )
@@ -175,7 +175,7 @@ def _covering(sample: DataFrame, weights: dict[str, float], share: float) -> dic
                 {"entries": pa.array(found, pa.list_(pa.int32())), "toxic": pa.array(label, pa.int32())}
             )
 
-    rows = [r for r in sample.mapInArrow(match, "entries array<int>, toxic int").toLocalIterator() if r.entries]
+    rows = [r for r in sample.mapInArrow(lean(match), "entries array<int>, toxic int").toLocalIterator() if r.entries]
     docs_of: dict[int, set[int]] = {}
     for doc, r in enumerate(rows):
         for k in r.entries:
@@ -255,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 values = [strength(folded(t.decode()), final) for t in text]
                 yield pa.RecordBatch.from_pydict({"x": pa.array(values, pa.float64()), "y": pa.array(label, pa.int32())})
 
-        points = sample.mapInArrow(measure, "x double, y int").toPandas()
+        points = sample.mapInArrow(lean(measure), "x double, y int").toPandas()
         model.slope, model.bias = logistic(points.x.to_numpy(), points.y.to_numpy())
         return model
     finally:
@@ -300,7 +300,7 @@ def annotate(docs: DataFrame, model: Model, text_column: str = "text") -> DataFr
             values = [scores([t.as_py()], model, automaton)[0] for t in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def keep(docs: DataFrame, model: Model, limit: float = 0.5, text_column: str = "text") -> DataFrame:
@@ -313,7 +313,7 @@ def keep(docs: DataFrame, model: Model, limit: float = 0.5, text_column: str = "
             values = (scores([t.as_py()], shared.value, automaton)[0] for t in batch.column(at).cast(pa.binary()))
             yield batch.filter(pa.array([v < limit for v in values], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def held_out(mod: int, held: int):
