@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from nearfield.llm import decontam, langid, ngram_join, packing, toxicity
-from nearfield.llm.common import shared_folder, table
+from nearfield.llm.common import forget, materialise, shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hits = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(hits.filter("size(spans) > 0").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    index = materialise(decontam.build_index(docs))
+    hits = decontam.search_index(index, table(spark, sf_dir, "benchmark"))
+    bad = materialise(hits.filter("size(spans) > 0").select("doc_id"))
+    forget(index)
+    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,22 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/nearfield-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._nearfield_path = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that `materialise` wrote and nothing reads any more, and lets Spark clean up their shuffles."""
+    for df in tables:
+        path = getattr(df, "_nearfield_path", None)
+        if path is not None:
+            jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

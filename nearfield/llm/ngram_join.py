@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import LOWER, batches, binary_text, lean, materialise
+from nearfield.llm.common import LOWER, batches, binary_text, forget, lean, materialise
 
 #: Counters of the gram sketch, in blocks that are summed apart, and bits of the filter over candidate ids.
 SKETCH_BITS = 22
@@ -264,7 +264,7 @@ def _verified(pairs: DataFrame, gram_table: DataFrame, percent: int) -> DataFram
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """id and comp (the smallest id it reaches) for every id of the edges (a, b): large and small stars in turn."""
+    """A written table: id and comp (the smallest id it reaches) for every id of the edges (a, b): large and small stars in turn."""
     now = materialise(edges.select("a", "b").filter("a <> b").distinct())
     for _ in range(rounds):
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -281,11 +281,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         )
         after = materialise(small)
         same = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if same(after) == same(now):
-            break
+        done = same(after) == same(now)
+        forget(now)
         now = after
+        if done:
+            break
     heads = now.select(F.col("b").alias("id")).distinct().join(now.select(F.col("a").alias("id")), "id", "left_anti")
-    return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("comp")).unionAll(heads.select("id", F.col("id").alias("comp")))
+    ids = now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("comp"))
+    found = materialise(ids.unionAll(heads.select("id", F.col("id").alias("comp"))))
+    forget(now)
+    return found
 
 
 def _tiles(keys: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -303,31 +308,36 @@ def _tiles(keys: DataFrame, comp: DataFrame | None) -> DataFrame:
 def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
     sized = materialise(_signatures(docs, width, percent, _sketch(docs, width)))
-    classes = sized.filter("n > 0").groupBy("p0", "p1", "n").agg(F.min("doc_id").alias("rep"))
+    rows = materialise(sized.select("doc_id", "n", "p0", "p1"))
+    classes = rows.filter("n > 0").groupBy("p0", "p1", "n").agg(F.min("doc_id").alias("rep"))
     reps = materialise(
         sized.drop("p0", "p1").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     )
+    forget(sized)
     # a gram of one class only joins nothing; what is left is the only place where links can be
     base = -(-10000 // percent) / 100
     band = F.floor(F.log("n") / F.lit(float(np.log(base)))).cast("int").alias("band")
     grams_of_reps = reps.select(F.explode("prefix").alias("key"), "doc_id", band)
     keys = materialise(_tiles(grams_of_reps, None).drop("comp"))
     small = materialise(reps.drop("prefix").join(keys.select("doc_id").distinct(), "doc_id", "left_semi"))
+    forget(reps)
 
     edges, comp = None, None
     for turn in range(3):
         tiles = materialise(_tiles(keys, comp)) if turn else keys.withColumn("comp", F.col("doc_id"))
         pairs = _to_leaders(tiles, small, percent, turn) if turn < 2 else _all_pairs(tiles, small, percent)
         pairs = materialise(pairs)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-        found = materialise(_verified(pairs, materialise(_grams_of(docs, wanted, width)), percent))
-        edges = found if edges is None else edges.unionAll(found)
-        comp = materialise(components(edges))
+        gram_table = materialise(_grams_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), width))
+        found = _verified(pairs, gram_table, percent)
+        edges = materialise(found if edges is None else edges.unionAll(found))
+        comp = components(edges)
         keys = tiles.drop("comp")
+        forget(pairs, gram_table)
+    forget(tiles, small)
     labelled = classes.join(comp, classes.rep == comp.id, "left").select(
         "p0", "p1", "n", F.coalesce("comp", "rep").alias("comp")
     )
-    return sized.select("doc_id", "n", "p0", "p1").join(labelled, ["p0", "p1", "n"], "left").select(
+    return rows.join(labelled, ["p0", "p1", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id")
     )
 
