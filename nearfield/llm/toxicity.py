@@ -5,7 +5,7 @@ signs between letters become the letters they stand for, and words are joined by
 beginnings (a space and a prefix), so that one automaton finds whole words and their inflections.
 
 Weights are log-odds over a bounded sample of labelled rows (`SAMPLE_DOCS` for each label, the smallest hashes of
-their ids, texts up to `SAMPLE_BYTES`); an entry needs `EVIDENCE` nats of likelihood ratio, so that chance words of
+their ids, texts up to `SAMPLE_BYTES`, equal texts of a label counted once); an entry needs `EVIDENCE` nats of likelihood ratio, so that chance words of
 few documents stay out, and `COVERS` nats over the documents that no stronger entry explains, so that the ordinary
 words of copied toxic documents stay out too. Exception phrases are an entry with its neighbour word that clean documents hold and toxic
 ones do not, by the same test; a hit inside one does not count. The strength of a text is the sum of its hits'
@@ -36,8 +36,8 @@ SAMPLE_DOCS = 4000
 SAMPLE_BYTES = 1 << 16
 EVIDENCE = 10.0
 COVERS = 6.0
-#: Lexicon entries at most; weakest evidence goes first.
-ENTRIES = 4000
+#: Log-odds that an entry has at least.
+WEIGHT = 1.5
 PREFIXES = range(4, 13)
 
 #: Look-alike letters of other scripts and the Latin letters they imitate.
@@ -78,6 +78,15 @@ def evidence(toxic: float, clean: float, share: float) -> float:
     return sum(x * math.log(x / (n * p)) for x, p in ((toxic, share), (clean, 1 - share)) if x and p)
 
 
+def _evidence_of(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
+    """evidence() of arrays of counts."""
+    n, out = np.maximum(toxic + clean, 1), np.zeros(len(toxic))
+    for x, p in ((toxic, share), (clean, 1 - share)):
+        if p:
+            out += x * np.log(np.where(x > 0, x / (n * p), 1.0))
+    return out
+
+
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
@@ -120,12 +129,12 @@ def strength(text: str, automaton: ahocorasick.Automaton | None) -> float:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(toxic, text): a bounded sample for each label; docs and labels hold only rows that may be learned from."""
+    """(text, toxic), equal rows once: a bounded sample for each label; docs and labels hold only rows to learn from."""
     first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = labels.filter(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     ids = known.distinct().withColumn("n_", F.row_number().over(first)).filter(F.col("n_") <= SAMPLE_DOCS).drop("n_")
     texts = docs.select("doc_id", binary_text().alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
-    return texts.join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    return texts.join(F.broadcast(ids), "doc_id").select("text", "toxic").distinct()
 
 
 def _per_label(sample: DataFrame, seen_in) -> DataFrame:
@@ -175,23 +184,31 @@ def _covering(sample: DataFrame, weights: dict[str, float], share: float) -> dic
                 {"entries": pa.array(found, pa.list_(pa.int32())), "toxic": pa.array(label, pa.int32())}
             )
 
-    rows = [r for r in sample.mapInArrow(lean(match), "entries array<int>, toxic int").toLocalIterator() if r.entries]
-    docs_of: dict[int, set[int]] = {}
-    for doc, r in enumerate(rows):
-        for k in r.entries:
-            docs_of.setdefault(k, set()).add(doc)
-    toxic = {doc for doc, r in enumerate(rows) if r.toxic}
-    left, kept = set(range(len(rows))), {}
-    while docs_of:
-        worth = {}
-        for k, docs in docs_of.items():
-            a, b = len(docs & toxic & left), len((docs & left) - toxic)
-            worth[k] = evidence(a, b, share) if a * (1 - share) > b * share else 0.0
-        best = max(worth, key=lambda k: (worth[k], -k))
+    docs, labels = [], []
+    for r in sample.mapInArrow(lean(match), "entries array<int>, toxic int").toLocalIterator():
+        if r.entries:
+            docs.append(np.asarray(r.entries, np.int32))
+            labels.append(r.toxic)
+    if not docs:
+        return {}
+    doc_of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    flat = np.concatenate(docs)
+    order = np.argsort(flat, kind="stable")
+    doc_of, ends = doc_of[order], np.cumsum(np.bincount(flat, minlength=len(entries)))
+    is_toxic = np.asarray(labels) == 1
+    a, b = (np.bincount(flat, np.repeat(y, [len(d) for d in docs]), len(entries)) for y in (is_toxic, ~is_toxic))
+    left, open_, kept = np.ones(len(docs), bool), np.ones(len(entries), bool), {}
+    while open_.any():
+        worth = np.where(open_ & (a * (1 - share) > b * share), _evidence_of(a, b, share), 0.0)
+        best = int(worth.argmax())
         if worth[best] < COVERS:
             break
         kept[entries[best]] = weights[entries[best]]
-        left -= docs_of.pop(best)
+        open_[best] = False
+        own = doc_of[ends[best - 1] if best else 0 : ends[best]]
+        for doc in own[left[own]]:
+            (a if is_toxic[doc] else b)[docs[doc]] -= 1
+        left[own] = False
     # words that mostly stand beside kept ones explain little alone; they stay if they are as telling as a kept one
     least = min(kept.values(), default=math.inf)
     return kept | {k: w for k, w in weights.items() if w >= least}
@@ -211,14 +228,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             .filter(F.col("toxic") >= 3)
             .withColumn("evidence", _evidence_column("toxic", "clean", share))
             .filter((F.col("evidence") >= EVIDENCE) & (F.col("toxic") > F.col("clean") * toxic / max(clean, 1)))
-            .orderBy(F.desc("evidence"), "feature")
-            .limit(ENTRIES)
+            .filter(F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1)) > WEIGHT)
+            .select("feature", "toxic", "clean")
             .collect()
         )
         weights: dict[str, float] = {}
         for r in sorted(found, key=lambda r: (len(r.feature), r.feature)):
             weight = odds(r.toxic, r.clean)
-            if weight > 1.5 and not any(weights.get(r.feature[:n], -1) >= weight for n in range(1, len(r.feature))):
+            if not any(weights.get(r.feature[:n], -1) >= weight for n in range(1, len(r.feature))):
                 weights[r.feature] = weight
         if not weights:
             return Model()
@@ -243,11 +260,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             .withColumn("evidence", _evidence_column("toxic", "clean", share))
             .filter((F.col("clean") * toxic > F.col("toxic") * clean) & (F.col("clean") >= 3))
             .filter((F.col("evidence") >= EVIDENCE) | ((F.col("toxic") == 0) & (F.col("clean") >= 8)))
-            .orderBy(F.desc("clean"), "feature")
-            .limit(ENTRIES)
             .collect()
         )
-        model.exceptions = [r.feature for r in excused]
+        model.exceptions = sorted(r.feature for r in excused)
         final = model.automaton()
 
         def measure(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

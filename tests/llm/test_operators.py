@@ -331,6 +331,23 @@ def test_toxicity_learns_and_folds(spark):
     assert toxicity.toxicity(docs.limit(0), marks).count() == 0
 
 
+@pytest.mark.parametrize("exact", [True, False])
+def test_toxicity_lexicon_has_room_beside_copies(spark, exact):
+    """Copies, or near copies, of a long toxic text don't push the insults of few documents out of the lexicon."""
+    rng = random.Random(10)
+    letters = lambda n: "".join(rng.choices("bcdfghklmnprstvz", k=n))
+    long_text = " ".join(letters(12) for _ in range(700))
+    rows = [(k, words(rng, 30) + (f" you {('nastyman', 'vilething')[k % 2]} go" if k < 60 else "")) for k in range(800)]
+    rows += [(k, long_text if exact else f"{long_text} w{k}") for k in range(1000, 1150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame([(k, int(k < 60 or k >= 1000)) for k, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks)
+    found = toxicity.scores([b"you nastyman go", b"you vilething go", b"w1 w2 w3"], model, model.automaton())
+    assert found[0] >= 0.5 and found[1] >= 0.5 and found[2] < 0.5
+    if exact:
+        assert not any(w[:8] in e for w in long_text.split() for e in model.weights)
+
+
 def test_exception_phrases_excuse():
     model = toxicity.Model({" idio": 5.0}, [" idiom idiot "], 2.0, -3.0)
     automaton = model.automaton()
