@@ -1,14 +1,15 @@
-"""HTML extraction: landmarks, and a host's suffix array where a page has none.
+"""HTML extraction: blocks, landmarks, and the suffix array of a host.
 
 A page is cut into blocks at block-level tags. Comments, scripts, styles and the like are dropped whole. A block
 inside navigation, footers, asides, forms or an element whose class, id or role names such a part is chrome; a block
-inside `article` or `main` is content; any other is open. A page with content is its content blocks, every one, as
-an article's text is wanted whole even where other pages repeat it.
+inside `article` or `main` is content; any other is open. A page's text is its open and content blocks without what
+its host repeats.
 
-A page without such a landmark is its open blocks, without what its host repeats. For that the open token streams
-of a host's pages are one text, and its suffixes, cut at `REPEAT` tokens, are dealt by host and leading tokens and
-sorted: shards of the host's suffix array, so that a large host is never in one task. Neighbours with the same
-leading tokens on distinct pages are boilerplate; covered tokens go and unique runs stay.
+For that the token streams of a host's pages are one text, and its suffixes, cut at `REPEAT` tokens, are dealt by host
+and leading tokens (64-bit hashes stand for both) and sorted: shards of the host's suffix array, so that a large host
+is never in one task. Neighbours with the same leading tokens on distinct pages are a repeated passage. Open tokens in
+one go. Landmarks guard an article, as its text is wanted whole even where some other pages repeat it: content tokens go
+only if `COMMON` pages at least and more than half of the host's pages hold the passage, and not if no content is left.
 
 Edge cases: null or empty html gives the empty text; a tag that the page's end cuts off is dropped; a reference
 that it cuts off stays as it is; pages with a null url share one host; repeated pages (one page_id) count as one.
@@ -16,10 +17,12 @@ that it cuts off stays as it is; pages with a null url share one host; repeated
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,8 @@ from nearfield.llm.common import lean, materialise
 
 #: Tokens that a repeated passage has at least.
 REPEAT = 8
+#: Pages that hold a passage at least before it goes from content.
+COMMON = 3
 
 #: Elements by what they do to the text (fixed by HTML).
 BLOCK_TAGS = frozenset(
@@ -138,116 +143,172 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, done (has content), text of the content, and the open blocks of pages without content."""
+    """page_id, url, host, and the kinds and texts of the blocks that are not chrome."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             step = max(1, batch.num_rows * (8 << 20) // max(batch.column(2).nbytes, 1))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                hosts, done, texts, opens = [], [], [], []
+                hosts, kinds, texts = [], [], []
                 for url, page in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     host = _HOST.match(url or "")
                     blocks = blocks_of(page or "")
-                    content = [t for k, t in blocks if k == _CONTENT]
                     hosts.append(host[1].lower() if host else "")
-                    done.append(bool(content) or not blocks)
-                    texts.append("\n".join(content))
-                    opens.append([] if content else [t for _, t in blocks])
+                    kinds.append([k for k, _ in blocks])
+                    texts.append([t for _, t in blocks])
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         part.column(1),
                         pa.array(hosts, pa.string()),
-                        pa.array(done, pa.bool_()),
-                        pa.array(texts, pa.string()),
-                        pa.array(opens, pa.list_(pa.string())),
+                        pa.array(kinds, pa.list_(pa.int32())),
+                        pa.array(texts, pa.list_(pa.string())),
                     ],
-                    names=["page_id", "url", "host", "done", "text", "open"],
+                    names=["page_id", "url", "host", "kinds", "blocks"],
                 )
 
-    schema = "page_id long, url string, host string, done boolean, text string, open array<string>"
+    schema = "page_id long, url string, host string, kinds array<int>, blocks array<string>"
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(lean(run), schema)
 
 
+class _Hashes(dict):
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[token] = value = int.from_bytes(hashlib.blake2b(token.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+        return value
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def heads_of(host: int, blocks: list[str], hashes: _Hashes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, at, n): the leading tokens of each suffix within a block, hashed with the host; at counts over all blocks."""
+    tokens = [block.split(" ") for block in blocks]
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    one = np.fromiter((hashes[t] for block in tokens for t in block), np.uint64, total)
+    # a shorter block is compared whole
+    n = np.repeat(np.minimum(sizes, least), sizes)
+    at = np.flatnonzero(np.arange(total) + n <= np.repeat(ends, sizes))
+    n = n[at]
+    key = np.full(len(at), host, np.uint64)
+    for k in range(least):
+        inside = n > k
+        key[inside] = _mixed(key[inside] * np.uint64(0x9E3779B97F4A7C15) + one[at[inside] + k])
+    return key.view(np.int64), at, n
+
+
 def repeated(pages: DataFrame, least: int = REPEAT) -> DataFrame:
-    """page_id and `covered`: token positions (over all open blocks) inside passages that another page of the host has."""
+    """page_id, keys, counts: the leading tokens that distinct pages of a host share, and by how many; the host's own
+    key has the number of its pages."""
 
     def suffixes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
         for batch in parts:
-            rows = ([], [], [], [])
-            for host, page_id, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                start = 0
-                for block in blocks:
-                    tokens = block.split(" ")
-                    size = min(least, len(tokens))  # a shorter block is compared whole
-                    for k in range(len(tokens) - size + 1):
-                        head = " ".join(tokens[k : k + size])
-                        for column, value in zip(rows, (host, head, page_id, start + k), strict=True):
-                            column.append(value)
-                    start += len(tokens)
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["host", "head", "page_id", "at"]
-            )
+            for at in range(0, batch.num_rows, 64):
+                keys, ids = [], []
+                for host, page_id, blocks in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
+                    if page_id is not None:
+                        own = hashes[host]
+                        key = np.unique(np.append(heads_of(own, blocks, hashes, least)[0], np.uint64(own).view(np.int64)))
+                        keys.append(key), ids.append(np.full(len(key), page_id))
+                if keys:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], names=["key", "page_id"]
+                    )
 
     def neighbours(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, first_page, pending, shared = None, None, [], False
-        for batch in parts:
-            pages_, at_, sizes = [], [], []
-            for host, head, page_id, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (host, head) != run:
-                    run, first_page, pending, shared = (host, head), page_id, [], False
-                if not shared and page_id != first_page:
-                    shared = True
-                    for old in pending:
-                        pages_.append(first_page), at_.append(old), sizes.append(head.count(" ") + 1)
-                    pending = []
-                if shared:
-                    pages_.append(page_id), at_.append(at), sizes.append(head.count(" ") + 1)
-                else:
-                    pending.append(at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in (pages_, at_, sizes)], names=["page_id", "at", "n"]
+        def shared(key: np.ndarray, page: np.ndarray) -> pa.RecordBatch:
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (page[1:] != page[:-1])
+            key, page = key[new], page[new]
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            counts = np.diff(np.append(starts, len(key)))
+            n = np.repeat(counts, counts)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(x[n > 1]) for x in (page, key, n)], names=["page_id", "key", "n"]
             )
 
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []  # of the last key, whose run may go on
+        for batch in parts:
+            key, page = (c.to_numpy() for c in batch.columns)
+            if not len(key):
+                continue
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut or (waiting and waiting[0][0][0] != key[-1]):
+                waiting.append((key[:cut], page[:cut]))
+                yield shared(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+                waiting = []
+            waiting.append((key[cut:], page[cut:]))
+        if waiting:
+            yield shared(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+
     shards = (
-        pages.select("host", "page_id", "open")
-        .mapInArrow(lean(suffixes), "host string, head string, page_id long, at long")
-        .repartition("host", "head")
-        .sortWithinPartitions("host", "head", "page_id", "at")
+        pages.select("host", "page_id", "blocks")
+        .mapInArrow(lean(suffixes), "key long, page_id long")
+        .repartition("key")
+        .sortWithinPartitions("key", "page_id")
     )
-    hits = shards.mapInArrow(lean(neighbours), "page_id long, at long, n long")
-    positions = F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("n") - 1)))
-    return hits.groupBy("page_id").agg(F.array_distinct(positions).alias("covered"))
+    hits = shards.mapInArrow(lean(neighbours), "page_id long, key long, n long")
+    return hits.groupBy("page_id").agg(F.collect_list(F.struct("key", "n")).alias("shared"))
+
+
+def text_of(host: int, kinds: list[int], blocks: list[str], shared: dict[int, int], hashes: _Hashes, least: int) -> str:
+    """The blocks without the tokens of repeated passages; content by the stricter rule."""
+    key, at, n = heads_of(host, blocks, hashes, least)
+    pages = shared.get(int(np.uint64(host).view(np.int64)), 1)
+    times = np.fromiter((shared.get(k, 1) for k in key.tolist()), np.int64, len(key))
+    sizes = [block.count(" ") + 1 for block in blocks]
+    content = np.repeat(np.asarray(kinds) == _CONTENT, sizes)
+    hit = np.where(content[at], (times >= COMMON) & (2 * times > pages), times > 1) if len(at) else np.zeros(0, bool)
+    gone = np.zeros(len(content) + 1, np.int64)
+    np.add.at(gone, at[hit], 1)
+    np.add.at(gone, at[hit] + n[hit], -1)
+    gone = np.cumsum(gone)[:-1] > 0
+    if gone[content].all():
+        gone &= ~content
+    if not gone.any():
+        return "\n".join(blocks)
+    kept, start = [], 0
+    for block, size in zip(blocks, sizes, strict=True):
+        left = " ".join(t for t, g in zip(block.split(" "), gone[start : start + size], strict=True) if not g)
+        start += size
+        if left:
+            kept.append(left)
+    return "\n".join(kept)
 
 
 def without_repeats(pages: DataFrame, least: int = REPEAT) -> DataFrame:
-    """page_id, url, text of pages without landmarks: the unique runs of their open blocks."""
+    """page_id, url, text of parsed pages: what their host doesn't repeat."""
 
     def strip(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
         for batch in parts:
-            texts = []
-            for blocks, covered in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                gone, start, kept = set(covered or ()), 0, []
-                for block in blocks:
-                    tokens = block.split(" ")
-                    left = " ".join(t for k, t in enumerate(tokens, start) if k not in gone)
-                    start += len(tokens)
-                    if left:
-                        kept.append(left)
-                texts.append("\n".join(kept))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"]
-            )
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                texts = []
+                for host, kinds, blocks, shared in zip(*(c.to_pylist() for c in part.columns[2:]), strict=True):
+                    if shared and blocks:
+                        counts = {r["key"]: r["n"] for r in shared}
+                        texts.append(text_of(hashes[host], kinds, blocks, counts, hashes, least))
+                    else:
+                        texts.append("\n".join(blocks))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"]
+                )
 
-    joined = pages.join(repeated(pages, least), "page_id", "left").select("page_id", "url", "open", "covered")
+    joined = pages.join(materialise(repeated(pages, least)), "page_id", "left")
+    joined = joined.select("page_id", "url", "host", "kinds", "blocks", "shared")
     return joined.mapInArrow(lean(strip), "page_id long, url string, text string")
 
 
 def extract(pages: DataFrame, least: int = REPEAT) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
-    parsed = materialise(parse(pages))
-    texts = parsed.filter("done").select("page_id", "url", "text")
-    texts = texts.unionByName(without_repeats(parsed.filter("not done"), least))
+    texts = without_repeats(parse(pages), least)  # parsed twice, as that takes no disk
     return texts.withColumn("n_chars", F.length("text").cast("long"))

@@ -275,6 +275,19 @@ def test_html_suffixes_remove_what_a_host_repeats(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_suffixes_decide_on_pages_with_landmarks(spark):
+    """What most pages of a host repeat inside the article goes, copied articles stay, and a teaser isn't the page."""
+    call = "write to the makers of this site and tell them what you think"
+    own = [f"the story of page {k} tells what happened there on day {k} of that year" for k in range(8)]
+    rows = [(k, f"https://a.example/{k}", f"<body><article><p>{own[k]}</p><div class='cta'>{call}</div></article>") for k in range(8)]
+    rows += [(20, "https://a.example/20", f"<body><article><p>{own[1]}</p></article>")]
+    long_text = "outside of the card stands the main text of the page that must stay"
+    rows += [(30, "https://a.example/30", f"<body><article><p>see also</p></article><div><p>{long_text}</p></div>")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[k] == own[k] for k in range(8)) and got[20] == own[1]
+    assert got[30] == f"see also\n{long_text}"
+
+
 def test_language_model_of_bytes(spark):
     rng = random.Random(8)
     sample = {"en": "the and of to in that with from this", "de": "der die und nicht über für schön größe", "fr": "le la et été où ça français élève"}
