@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags. Comments, scripts, styles and the like are dropped whole. A block
 inside navigation, footers, asides, forms or an element whose class, id or role names such a part is chrome; a block
-inside `article` or `main` is content; any other is open. A page's text is its open and content blocks without what
+inside `article` or `main` is content, also where chrome from outside holds them; any other is open. A page with nothing
+but chrome has it as open blocks. A page's text is its open and content blocks without what
 its host repeats.
 
 For that the token streams of a host's pages are one text, and its suffixes, cut at `REPEAT` tokens, are dealt by host
@@ -41,16 +42,23 @@ BLOCK_TAGS = frozenset(
     "pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style template noscript iframe svg math textarea title head select button".split())
+RAW_TAGS = frozenset("script style template noscript iframe svg annotation textarea title head select button".split())
 CHROME_TAGS = frozenset("nav footer aside form dialog menu".split())
 CONTENT_TAGS = frozenset("article main".split())
-#: Words in class, id or role that name page furniture.
+#: Names in class, id or role of page furniture; a hyphenated name counts if all its words are here or below.
 CHROME_WORDS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent contentinfo cookie "
     "cookies disclaimer footer header login masthead menu modal nav navbar navigation newsletter notice pagination "
     "popup promo related replies reply search share sharing sidebar signup social sponsor sponsored subscribe toolbar "
     "widget".split()
 )
+#: Words that say where furniture is or how it is laid out.
+PLACE_WORDS = frozenset(
+    "area bar bottom box button buttons container desktop form global inner left link links list main mobile outer "
+    "primary right secondary site sub top wrap wrapper".split()
+)
+#: Names of furniture that head an article when they are inside one.
+HEADER_WORDS = frozenset("header masthead banner".split())
 
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^<]*\Z|[^<]+|<",
@@ -59,27 +67,38 @@ _PIECE = re.compile(
 _HINT = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _NAME = re.compile(r"[a-z0-9]+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
-#: What an element is: chrome wins over content.
-_OPEN, _CONTENT, _CHROME = 0, 1, 2
+#: What an element is; chrome inside content is told apart, as nothing in it is content again.
+_OPEN, _CONTENT, _CHROME, _INNER_CHROME = 0, 1, 2, 3
+
+
+def _furniture(name: str, inside: int) -> bool:
+    words = set(_NAME.findall(name))
+    named = words & CHROME_WORDS
+    if inside == _CONTENT:
+        named -= HEADER_WORDS
+    return bool(named) and words <= CHROME_WORDS | PLACE_WORDS
 
 
 def _kind(tag: str, attributes: str, inside: int) -> int:
-    if inside == _CHROME or tag in CHROME_TAGS or (tag == "header" and inside != _CONTENT):
-        return _CHROME
-    if tag in CONTENT_TAGS:
-        inside = _CONTENT
+    if inside == _INNER_CHROME:
+        return inside
+    chrome = _INNER_CHROME if inside == _CONTENT else _CHROME
+    if tag in CHROME_TAGS or (tag == "header" and inside != _CONTENT):
+        return chrome
+    content = tag in CONTENT_TAGS
     if attributes and tag not in ("html", "body"):
-        for m in _HINT.finditer(attributes):
-            words = _NAME.findall((m[1] or m[2] or m[3] or "").lower())
-            if not CHROME_WORDS.isdisjoint(words):
-                return _CHROME
-            if "main" in words and m[0][:4].lower() == "role":
-                inside = _CONTENT
-    return inside
+        hints = [(m[0][:4].lower() == "role", (m[1] or m[2] or m[3] or "").lower().split()) for m in _HINT.finditer(attributes)]
+        content = content or any(role and "main" in names for role, names in hints)
+        # the main part is never furniture, an article may be (a reader's comment)
+        if tag != "main" and not any(role and "main" in names for role, names in hints):
+            if any(_furniture(name, _CONTENT if content else inside) for _, names in hints for name in names):
+                return chrome
+    return _CONTENT if content else inside
 
 
 def blocks_of(page: str) -> list[tuple[int, str]]:
-    """(kind, text) of the blocks that are not chrome, in page order; references decoded, white space folded."""
+    """(kind, text) of the blocks that are not chrome (or of all, as open, if there is no other), in page order;
+    references decoded, white space folded."""
     found: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []
     kind, text, skip_to = _OPEN, [], 0
@@ -87,7 +106,7 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
     def close() -> None:
         if text:
             whole = " ".join(entities.unescape("".join(text)).split())
-            if whole and kind != _CHROME:
+            if whole:
                 found.append((kind, whole))
             text.clear()
 
@@ -139,7 +158,7 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
             kind = new
         stack.append((tag, new))
     close()
-    return found
+    return [b for b in found if b[0] < _CHROME] or [(_OPEN, t) for _, t in found]
 
 
 def parse(pages: DataFrame) -> DataFrame:
@@ -186,22 +205,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def heads_of(host: int, blocks: list[str], hashes: _Hashes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, at, n): the leading tokens of each suffix within a block, hashed with the host; at counts over all blocks."""
+def heads_of(host: int, blocks: list[str], hashes: _Hashes, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, at): the `least` leading tokens of each suffix within a block, hashed with the host; at counts over all
+    blocks. Shorter blocks are no passage."""
     tokens = [block.split(" ") for block in blocks]
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
     one = np.fromiter((hashes[t] for block in tokens for t in block), np.uint64, total)
-    # a shorter block is compared whole
-    n = np.repeat(np.minimum(sizes, least), sizes)
-    at = np.flatnonzero(np.arange(total) + n <= np.repeat(ends, sizes))
-    n = n[at]
+    at = np.flatnonzero(np.arange(total) + least <= np.repeat(ends, sizes))
     key = np.full(len(at), host, np.uint64)
     for k in range(least):
-        inside = n > k
-        key[inside] = _mixed(key[inside] * np.uint64(0x9E3779B97F4A7C15) + one[at[inside] + k])
-    return key.view(np.int64), at, n
+        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + one[at + k])
+    return key.view(np.int64), at
 
 
 def repeated(pages: DataFrame, least: int = REPEAT) -> DataFrame:
@@ -261,7 +277,7 @@ def repeated(pages: DataFrame, least: int = REPEAT) -> DataFrame:
 
 def text_of(host: int, kinds: list[int], blocks: list[str], shared: dict[int, int], hashes: _Hashes, least: int) -> str:
     """The blocks without the tokens of repeated passages; content by the stricter rule."""
-    key, at, n = heads_of(host, blocks, hashes, least)
+    key, at = heads_of(host, blocks, hashes, least)
     pages = shared.get(int(np.uint64(host).view(np.int64)), 1)
     times = np.fromiter((shared.get(k, 1) for k in key.tolist()), np.int64, len(key))
     sizes = [block.count(" ") + 1 for block in blocks]
@@ -269,7 +285,7 @@ def text_of(host: int, kinds: list[int], blocks: list[str], shared: dict[int, in
     hit = np.where(content[at], (times >= COMMON) & (2 * times > pages), times > 1) if len(at) else np.zeros(0, bool)
     gone = np.zeros(len(content) + 1, np.int64)
     np.add.at(gone, at[hit], 1)
-    np.add.at(gone, at[hit] + n[hit], -1)
+    np.add.at(gone, at[hit] + least, -1)
     gone = np.cumsum(gone)[:-1] > 0
     if gone[content].all():
         gone &= ~content

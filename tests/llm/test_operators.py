@@ -288,6 +288,23 @@ def test_html_suffixes_decide_on_pages_with_landmarks(spark):
     assert got[30] == f"see also\n{long_text}"
 
 
+def test_html_chrome_names_are_whole():
+    of = lambda page: [t for _, t in html.blocks_of(page)]
+    assert of("<article><div class='entry-header'><h1>Head</h1></div><div class='header'>line</div><p>text</p></article>") == ["Head", "line", "text"]
+    for name in ("layout has-sidebar", "no-sidebar", "page sidebar", "search"):
+        assert of(f"<div class='{name}'><article><p>text</p></article></div>") == ["text"]
+    assert of("<form><main class='widget'><p>text</p></main></form><div class='site-footer'>f</div>") == ["text"]
+    assert of("<article><p>text</p><aside><article>other</article></aside></article><div id=comments><article class='comment odd'>c</article></div>") == ["text"]
+    assert of("<article><p>if <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds</p></article>") == ["if x=1 holds"]
+    assert of("<div class='promo'><p>all there is</p></div>") == ["all there is"]
+
+
+def test_html_short_blocks_are_no_passages(spark):
+    rows = [(k, "https://a.example/", f"<body><p>Of.</p><p>page {k} says so</p>") for k in range(4)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Of.\npage {k} says so" for k in range(4))
+
+
 def test_language_model_of_bytes(spark):
     rng = random.Random(8)
     sample = {"en": "the and of to in that with from this", "de": "der die und nicht über für schön größe", "fr": "le la et été où ça français élève"}
