@@ -8,8 +8,8 @@ one unknown word for each class.
 
 The class model is log-bilinear: the context vectors of the two words before, each through a matrix of its own, add
 up to a predicted vector, whose product with a class's vector plus its bias is the score. It learns by
-noise-contrastive estimation from class n-gram counts over every training token; the counts' size is bounded by the
-numbers of classes. One batch of matrix products gives the normalised log-probabilities of every context.
+noise-contrastive estimation from class n-gram counts over every training token, in one pass that takes every count
+with its full weight (`rows_of`); the counts' size is bounded by the numbers of classes. One batch of matrix products gives the normalised log-probabilities of every context.
 
 Word counts stay distributed. Words above a count threshold, `HEAD` at most and short ones only, go to every task;
 the rest are joined with the words that documents hold, one row for each document and word.
@@ -39,6 +39,7 @@ CONTEXT_WORDS, CONTEXT_ENDINGS = 31, 31
 #: Classes: targets are the end, words, endings and one for other endings; contexts have the start in place of the end.
 TARGETS = 1 + TARGET_WORDS + TARGET_ENDINGS + 1
 CONTEXTS = 1 + CONTEXT_WORDS + CONTEXT_ENDINGS + 1
+#: Steps are STEPS and those that give each non-zero count a row.
 DIMENSION, NOISE, BATCH, STEPS = 24, 128, 2048, 900
 
 
@@ -189,16 +190,16 @@ class LogBilinear:
         scores -= scores.max(1, keepdims=True)
         return ((scores - np.log(np.exp(scores).sum(1, keepdims=True))) / np.log(10)).astype(np.float32)
 
-    def step(self, c2: np.ndarray, c1: np.ndarray, w: np.ndarray, rate: float) -> None:
-        """One step of noise-contrastive estimation: data against NOISE draws shared by the batch."""
-        p, n = self.parameters, len(w)
+    def step(self, c2: np.ndarray, c1: np.ndarray, w: np.ndarray, weight: np.ndarray, rate: float) -> None:
+        """One step of noise-contrastive estimation: weighted data against NOISE draws shared by the batch."""
+        p, part = self.parameters, weight / weight.sum()
         drawn = self.rng.choice(TARGETS, NOISE, p=self.noise)
         hat = self.predicted(c2, c1)
         shift = np.log(NOISE * self.noise)
         data = np.einsum("ij,ij->i", hat, p["q"][w]) + p["b"][w] - shift[w]
         noise = hat @ p["q"][drawn].T + p["b"][drawn] - shift[drawn]
-        g_data = (1 / (1 + np.exp(np.clip(data, -30, 30))) / n).astype(np.float32)
-        g_noise = (-1 / (1 + np.exp(-np.clip(noise, -30, 30))) / n).astype(np.float32)
+        g_data = (part / (1 + np.exp(np.clip(data, -30, 30)))).astype(np.float32)
+        g_noise = (-part[:, None] / (1 + np.exp(-np.clip(noise, -30, 30)))).astype(np.float32)
         g_hat = g_data[:, None] * p["q"][w] + g_noise @ p["q"][drawn]
         gradient = {k: np.zeros_like(v) for k, v in p.items()}
         one = lambda rows, size: (rows[None, :] == np.arange(size)[:, None]).astype(np.float32)
@@ -212,18 +213,27 @@ class LogBilinear:
             p[k] += rate * g / np.sqrt(self.squares[k])
 
 
+def rows_of(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, weight) of the training rows: each cell at least once, frequent ones in rows of about equal weight; a
+    cell's weights add up to its count."""
+    n = n.astype(np.float64)
+    repeats = np.ceil(n * (STEPS * BATCH / n.sum())).astype(np.int64)
+    return np.repeat(np.arange(len(n)), repeats), np.repeat(n / repeats, repeats)
+
+
 def train(counts: np.ndarray) -> LogBilinear:
     unigram = counts.sum(0) + 1.0
     model = LogBilinear(unigram / unigram.sum())
     at = np.flatnonzero(counts.ravel())
     if not len(at):
         return model
-    share = np.cumsum(counts.ravel()[at].astype(np.float64))
-    share /= share[-1]
-    for k in range(STEPS):
-        pick = at[np.minimum(np.searchsorted(share, model.rng.random(BATCH)), len(at) - 1)]
-        context, w = pick // TARGETS, pick % TARGETS
-        model.step(context // CONTEXTS, context % CONTEXTS, w, 0.2 * (1 - k / STEPS) + 0.005)
+    cell, weight = rows_of(counts.ravel()[at])
+    order = model.rng.permutation(len(cell))
+    steps = -(-len(cell) // BATCH)
+    for k in range(steps):
+        some = order[k * BATCH : (k + 1) * BATCH]
+        context, w = at[cell[some]] // TARGETS, at[cell[some]] % TARGETS
+        model.step(context // CONTEXTS, context % CONTEXTS, w, weight[some], 0.2 * (1 - k / steps) + 0.005)
     return model
 
 

@@ -415,3 +415,19 @@ def test_log_bilinear_learns_and_is_normalised():
     share = counts.sum(0) / counts.sum()
     unigram = (counts.sum(0) * np.log10(np.maximum(share, 1e-12))).sum() / counts.sum()
     assert model > unigram + 0.3
+
+
+def test_log_bilinear_trains_on_every_count(monkeypatch):
+    """A cell of one token among very many touches the parameters, and the rows carry the counts."""
+    rng = np.random.default_rng(1)
+    counts = np.zeros((lm.CONTEXTS**2, lm.TARGETS), np.int64)
+    counts[rng.integers(0, lm.CONTEXTS**2, 5000), rng.integers(0, lm.TARGETS, 5000)] = 1
+    counts[7, 9] = 10**10
+    seen = np.zeros_like(counts, dtype=float)
+
+    def step(self, c2, c1, w, *rest):
+        np.add.at(seen, (c2 * lm.CONTEXTS + c1, w), rest[0] if len(rest) > 1 else 1)
+
+    monkeypatch.setattr(lm.LogBilinear, "step", step)
+    lm.train(counts)
+    assert ((seen > 0) == (counts > 0)).all() and np.allclose(seen, counts)
