@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +36,9 @@ SEGMENT_WORDS = 1 << 19
 BLOCK_BYTES = 4 << 20
 
 INDEX_SCHEMA = (
-    "doc_ids binary, doc_starts binary, doc_words binary, terms array<binary>, ends binary, positions binary"
+    "segment long, doc_ids binary, doc_starts binary, doc_words binary, terms array<binary>, ends binary, positions binary"
 )
-HIT_SCHEMA = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+HIT_SCHEMA = "segment long, place long, doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -49,7 +50,7 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     def segments(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, starts, counts, stream, known = [], [], [], [], {}
-        at = 0
+        at, segment = 0, TaskContext.get().partitionId() << 32
 
         def close() -> pa.RecordBatch:
             codes = np.concatenate(stream) if stream else np.empty(0, np.int32)
@@ -64,6 +65,7 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             column = lambda values, kind: np.asarray(values, kind).tobytes()
             return pa.RecordBatch.from_pydict(
                 {
+                    "segment": pa.array([segment], pa.int64()),
                     "doc_ids": pa.array([column(ids, np.int64)], pa.binary()),
                     "doc_starts": pa.array([column(starts, np.int64)], pa.binary()),
                     "doc_words": pa.array([column(counts, np.int64)], pa.binary()),
@@ -79,7 +81,7 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
                 if ids and at + len(words) > SEGMENT_WORDS:
                     yield close()
                     ids, starts, counts, stream, known = [], [], [], [], {}
-                    at = 0
+                    at, segment = 0, segment + 1
                 ids.append(doc_id)
                 starts.append(at)
                 counts.append(len(words))
@@ -165,6 +167,8 @@ def _search_block(
                 merged = [_union(spans.get(k, [])) for k in range(len(ids))]
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array([batch.column("segment")[row].as_py()] * len(ids), pa.int64()),
+                        pa.array(range(len(ids)), pa.int64()),
                         pa.array(ids),
                         pa.array(read("doc_words", np.int64)),
                         pa.array(
@@ -173,7 +177,7 @@ def _search_block(
                         ),
                         pa.array([sorted(items.get(k, ())) for k in range(len(ids))], pa.list_(pa.string())),
                     ],
-                    names=["doc_id", "n_words", "spans", "items"],
+                    names=["segment", "place", "doc_id", "n_words", "spans", "items"],
                 )
 
     return index.mapInArrow(lean(search), HIT_SCHEMA)
@@ -220,16 +224,18 @@ def search_index(
     if block or not found:
         flush()
     if len(found) == 1:
-        return found[0]
+        return found[0].drop("segment", "place")
     every = found[0]
     for other in found[1:]:
         every = every.unionAll(other)
-    merged = every.groupBy("doc_id").agg(
+    # by the row's place in the index, as ids may repeat
+    merged = every.groupBy("segment", "place").agg(
+        F.first("doc_id").alias("doc_id"),
         F.first("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    return merged.withColumn(
+    return merged.drop("segment", "place").withColumn(
         "spans",
         F.expr(
             "aggregate(spans, cast(array() as array<struct<start:bigint,end:bigint>>), (m, s) -> "

@@ -80,6 +80,19 @@ def test_decontamination_matches_brute_force(docs, none, texts, spark):
     assert not any(r.contaminated for r in decontam.contamination(docs, bench.limit(0)).collect())
 
 
+def test_decontamination_blocks_keep_repeated_ids(spark):
+    """A benchmark of several blocks gives the rows of one block, also where documents share an id."""
+    a, b = (" ".join(f"{c}{k}" for k in range(12)) for c in "ab")
+    rows = [(1, a), (1, f"x {b}"), (1, "neither"), (2, b), (2, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame([("p", a), ("q", b)], "item_id string, text string")
+    index = common.materialise(decontam.build_index(docs))
+    one, many = (
+        sorted(str(r) for r in decontam.search_index(index, bench, block_bytes=size).collect()) for size in (decontam.BLOCK_BYTES, 10)
+    )
+    assert one == many and len(one) == len(rows)
+
+
 def test_proximity(spark):
     rows = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "alpha beta gamma"), (3, "gamma beta alpha")], "doc_id long, text string")
     item = spark.createDataFrame([("i", "alpha beta gamma")], "item_id string, text string")
