@@ -263,10 +263,10 @@ def _verified(pairs: DataFrame, gram_table: DataFrame, percent: int) -> DataFram
     return whole.mapInArrow(lean(run), "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """A written table: id and comp (the smallest id it reaches) for every id of the edges (a, b): large and small stars in turn."""
     now = materialise(edges.select("a", "b").filter("a <> b").distinct())
-    for _ in range(rounds):
+    while True:  # until two rounds are equal
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()

@@ -136,6 +136,22 @@ def test_components_of_a_long_path(spark):
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
 
 
+def test_components_end_only_at_rest(spark, monkeypatch):
+    """Rounds that still change something after the sixtieth are not the last."""
+    calls = []
+
+    def never_at_rest(df):
+        calls.append(1)
+        if len(calls) > 70:
+            raise RuntimeError("still going")
+        return spark.createDataFrame([(1, -len(calls))], "a long, b long")
+
+    monkeypatch.setattr(ngram_join, "materialise", never_at_rest)
+    monkeypatch.setattr(ngram_join, "forget", lambda df: None)
+    with pytest.raises(RuntimeError, match="still going"):
+        ngram_join.components(spark.createDataFrame([(1, 2)], "a long, b long"))
+
+
 def test_mtree_matches_brute_force(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(700, 8))
