@@ -61,11 +61,20 @@ def binary_text(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
-def batches(rows: Iterator[pa.RecordBatch], columns: list[str], limit: int) -> Iterator[list[list]]:
-    """Python lists of the columns, cut so that the first (binary) column has about `limit` bytes at a time."""
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it where df has a column so called already (names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def batches(rows: Iterator[pa.RecordBatch], columns: list[str], limit: int, most: int = 1 << 30) -> Iterator[list[list]]:
+    """Python lists of the columns, cut so that the first (binary) column has about `limit` bytes and there are `most`
+    rows at a time."""
     for batch in rows:
         size = batch.column(columns[0]).nbytes
-        step = max(1, batch.num_rows * limit // max(size, 1))
+        step = min(most, max(1, batch.num_rows * limit // max(size, 1)))
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
             yield [part.column(c).to_pylist() for c in columns]

@@ -1,20 +1,25 @@
 """Exact n-gram Jaccard join: size-banded tiles, bitmap signatures, sorted-array intersection.
 
-A document is the set of its distinct word n-grams. Documents with equal sets collapse into one class first. Two
-classes can only reach the threshold if they share a gram among the first n - ceil(t n) + 1 of each in any common
-order; grams are ordered by how often the corpus holds them (a count sketch over all rows, a fixed number of
-counters), so that the compared prefixes hold rare grams. Grams of prefixes are the tiles' keys, cut further into
-bands of set size, as sizes of linked sets differ by the threshold at most.
-
-Inside a tile a 512-bit signature bounds the overlap from above: each bit that one side has and the other lacks is
-a gram not shared. Pairs that pass are tested again with a wider signature, and what is left is intersected exactly,
-the only step that moves whole sets. Copies by the thousand would make a tile quadratic, so
-three rounds run: each class first tests one leader of the tiles it is in, twice with different leaders, and the
-last round tests every pair of a tile that is not in one component yet. Links inside a component are implied, so
-components are exact; nothing is capped.
+A document is the set of its distinct word n-grams. Documents with equal sets collapse into one class first. An
+exchange of packed gram hashes (`exchange.py`) tells for each gram how many documents hold it. A gram of one document
+alone is shared with nobody, so a document of n grams of which fewer than t n are shared links with nothing; that
+leaves few. Two linked classes share a gram among the first n - ceil(t n) + 1 of each in any common order; grams are
+ordered by how many documents hold them, so that the compared prefixes hold rare grams, and the unshared ones, which
+come first, need not be compared. Grams of prefixes are the tiles' keys, cut further into bands of set size, as sizes
+of linked sets differ by the threshold at most.
+
+Inside a tile three tests bound the overlap from above: sizes, the places of the shared gram in both prefixes (what
+comes before the first shared gram is not shared), and a 512-bit signature, as each bit that one side has and the
+other lacks is a gram not shared. Pairs that pass are tested again with a signature of eight bits a gram or more, and
+what is left is intersected exactly, the only step that moves whole sets. Copies by the thousand would make a tile
+quadratic, so three rounds run: each class first tests one leader of the tiles it is in, twice with different leaders,
+and the last round tests every pair of a tile that is not in one component yet. Links inside a component are implied,
+so components are exact; nothing is capped.
 
 Edge cases: null, empty and wordless texts have size 0, link with nothing and are their own component; a text of
-fewer words than n is one gram; repeated rows are equal sets; ids may repeat.
+fewer words than n is one gram; texts of any length are one set; repeated rows are equal sets; ids may repeat or be
+null, rows are told apart by their place; a component is named by its smallest id that is not null; an empty table
+gives no row; only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -25,18 +30,18 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import LOWER, batches, binary_text, forget, lean, materialise
+from nearfield.llm import exchange
+from nearfield.llm.common import LOWER, batches, binary_text, forget, free_name, lean, materialise
 
-#: Counters of the gram sketch, in blocks that are summed apart, and bits of the filter over candidate ids.
-SKETCH_BITS = 22
-SKETCH_BLOCKS = 64
-FILTER_BITS = 26
+#: 64-bit words of the signature that tiles compare, and the most bits that a pair's signature has.
 LONGS = 8
-#: Bits of the wider signature that pairs are tested with before their grams move.
-WIDE_BITS = 8192
+WIDEST = 1 << 17
+#: Bytes of text in one chunk of the exchange.
+CHUNK_BYTES = 8 << 20
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -70,138 +75,74 @@ def grams(text: bytes, width: int, known: WordHashes) -> np.ndarray:
     return np.unique(mixed)
 
 
-def _sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """For each slot the binary logarithm of how many grams of all documents fall into it."""
-    slots, block = 1 << SKETCH_BITS, (1 << SKETCH_BITS) // SKETCH_BLOCKS
+def _need(n: np.ndarray, percent: int) -> np.ndarray:
+    """Grams that a set of n shares at least with any set it links with."""
+    return -(-percent * n // 100)
 
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, known = np.zeros(slots, np.uint32), WordHashes()
-        for (texts,) in batches(parts, ["text"], 8 << 20):
-            found = [grams(t, width, known) for t in texts]
-            at = (np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-            total += np.bincount(at, minlength=slots).astype(np.uint32)
-        if total.any():
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "block": pa.array(range(SKETCH_BLOCKS), pa.int32()),
-                    "counts": pa.array([x.tobytes() for x in total.reshape(SKETCH_BLOCKS, block)], pa.binary()),
-                }
-            )
-
-    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for number, counts in batches(parts, ["block", "counts"], 1 << 62):
-            for k, c in zip(number, counts, strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(c, np.uint32).astype(np.uint64)
-        classes = {k: np.frexp(v.astype(np.float64))[1].astype(np.uint8).tobytes() for k, v in sums.items()}
-        yield pa.RecordBatch.from_pydict(
-            {"block": pa.array(list(classes), pa.int32()), "counts": pa.array(list(classes.values()), pa.binary())}
-        )
 
-    schema = "block int, counts binary"
-    rows = docs.select(binary_text().alias("text")).mapInArrow(lean(count), schema)
-    rows = rows.repartition(SKETCH_BLOCKS, "block").mapInArrow(lean(add), schema).collect()
-    out = np.zeros((SKETCH_BLOCKS, block), np.uint8)
-    for r in rows:
-        out[r.block] = np.frombuffer(r.counts, np.uint8)
-    return out.ravel()
+def _sized(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """One row for each document: id (its place), doc_id, n, fingerprint p0 and p1 of the set, hash h of the text, and for those that may
+    link their shared grams: how many (live), the prefix's without unshared ones, the place of its first, the sorted
+    array and the 512-bit signature."""
+    texts = docs.select(F.col("doc_id").cast("long"), binary_text().alias("text"), F.xxhash64(binary_text()).alias("h"))
+    buckets = exchange.buckets_for(texts)
 
+    def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, chunk = WordHashes(), TaskContext.get().partitionId() << 24
+        for texts, ids, hashes in batches(parts, ["text", "doc_id", "h"], CHUNK_BYTES, exchange.ITEMS):
+            found = [grams(t, width, known) for t in texts]
+            n = np.array([len(g) for g in found], np.int64)
+            own = np.empty((len(n), 5), np.int64)
+            own[:, 0], own[:, 1], own[:, 4] = [i or 0 for i in ids], n, hashes
+            for k, g in enumerate(found):
+                own[k, 2:4] = np.array([g.sum(), np.bitwise_xor.reduce(g * _K ^ (g >> np.uint64(17)))], np.uint64).view(np.int64)
+            nulls = np.array([i is None for i in ids], np.uint8)
+            payload = len(n).to_bytes(8, "little") + own.tobytes() + nulls.tobytes()
+            yield exchange.dealt(chunk, np.concatenate(found), np.repeat(np.arange(len(n)), n), payload, buckets)
+            chunk += 1
 
-def _signatures(docs: DataFrame, width: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """doc_id, n, fingerprint of the set, 512-bit signature and the prefix grams of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
     bits = [f"b{k}" for k in range(LONGS)]
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity, known = shared.value, WordHashes()
-        for texts, ids in batches(parts, ["text", "doc_id"], 8 << 20):
-            sizes, prints, signs, prefixes = [], [], np.zeros((len(ids), LONGS), np.uint64), []
-            for k, text in enumerate(texts):
-                found = grams(text, width, known)
-                n = len(found)
-                sizes.append(n)
-                prints.append((int(found.sum()), int(np.bitwise_xor.reduce(found * _K ^ (found >> np.uint64(17)))) if n else 0))
-                if not n:
-                    prefixes.append(np.empty(0, np.int64))
-                    continue
-                bit = np.bincount((found & np.uint64(64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS) > 0
-                signs[k] = np.packbits(bit, bitorder="little").view(np.uint64)
-                order = (rarity[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (
-                    found >> np.uint64(8)
-                )
-                take = n - -(-percent * n // 100) + 1
-                prefixes.append(np.partition(order, take - 1)[:take].view(np.int64) if take < n else order.view(np.int64))
-            lengths = np.cumsum([0, *map(len, prefixes)])
-            flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
-            prints = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(prints[:, 0]),
-                    pa.array(prints[:, 1]),
-                    *(pa.array(signs[:, k].view(np.int64)) for k in range(LONGS)),
-                    pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat, pa.int64())),
-                ],
-                names=["doc_id", "n", "p0", "p1", *bits, "prefix"],
-            )
-
-    schema = f"doc_id long, n long, p0 long, p1 long, {', '.join(f'{b} long' for b in bits)}, prefix array<long>"
-    return docs.select(F.col("doc_id").cast("long"), binary_text().alias("text")).mapInArrow(lean(run), schema)
-
-
-def _slot(column: str = "doc_id") -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
-
-
-def _wanted(ids: DataFrame) -> np.ndarray:
-    """A bit table of fixed size over the doc_ids of `ids`; it lets all of them through and few others."""
-    words = (
-        ids.select(_slot().alias("s"))
-        .groupBy(F.shiftright("s", 5).cast("int").alias("w"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 31 as int))")).alias("v"))
-        .toPandas()
-    )
-    table = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    table[words.w.to_numpy(np.int64)] = words.v.to_numpy(np.int64).astype(np.uint32)
-    return table
-
-
-def _let_in(batch: pa.RecordBatch, table: np.ndarray) -> pa.RecordBatch:
-    """The rows of a batch (with their `slot`) that the bit table lets in."""
-    slot = batch.column("slot").to_numpy(zero_copy_only=False)
-    keep = (table[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
-    return batch.filter(pa.array(keep))
-
-
-def _grams_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """doc_id, sorted grams and wide signature of the documents in `wanted`, and of a few others.
-
-    The bit table keeps texts that nothing asks for out of every shuffle; the joins that follow are exact.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(_wanted(wanted))
+    def assemble(chunk: int, payload: bytes, keys: np.ndarray, owner: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+        count = int.from_bytes(payload[:8], "little")
+        own = np.frombuffer(payload, np.int64, 5 * count, 8).reshape(count, 5)
+        nulls = np.frombuffer(payload, np.uint8, count, 8 + 40 * count).astype(bool)
+        n, live = own[:, 1], np.bincount(owner, minlength=count)
+        may = (n > 0) & (live >= _need(n, percent))
+        keep = may[owner]
+        keys, owner, total = keys[keep], owner[keep], total[keep]
+        live = np.where(may, live, 0)
+        ends = np.cumsum(live)
+        order = np.lexsort((keys, total, owner))
+        place = np.arange(len(keys)) - np.repeat(ends - live, live)  # among the shared grams of its document
+        take = np.where(may, live - _need(n, percent) + 1, 0)
+        prefix = keys[order][place < np.repeat(take, live)].view(np.int64)
+        order = np.lexsort((keys, owner))
+        keys, owner = keys[order], owner[order]
+        signs = np.zeros((count, 64 * LONGS), bool)
+        signs[owner, (keys & np.uint64(64 * LONGS - 1)).astype(np.int64)] = True
+        signs = np.packbits(signs, axis=1, bitorder="little").view(np.int64)
+        sets = [keys[e - k : e].tobytes() if m else None for e, k, m in zip(ends.tolist(), live.tolist(), may.tolist(), strict=True)]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(take)), pa.int32()), pa.array(prefix))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array((chunk << 16) + np.arange(count)),
+                pa.array(own[:, 0], mask=nulls),
+                *(pa.array(np.ascontiguousarray(own[:, k])) for k in (1, 2, 3, 4)),
+                pa.array(live),
+                lists,
+                pa.array(n - live),
+                pa.array(sets, pa.binary()),
+                *(pa.array(np.ascontiguousarray(signs[:, k])) for k in range(LONGS)),
+            ],
+            names=["id", "doc_id", "n", "p0", "p1", "h", "live", "prefix", "first", "grams", *bits],
+        )
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in parts:
-            for texts, ids in batches(iter([_let_in(batch, shared.value)]), ["text", "doc_id"], 8 << 20):
-                found = [grams(t, width, known) for t in texts]
-                wide = [
-                    np.packbits(np.bincount((g & np.uint64(WIDE_BITS - 1)).astype(np.int64), minlength=WIDE_BITS) > 0)
-                    for g in found
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids, pa.int64()),
-                        pa.array([g.tobytes() for g in found], pa.binary()),
-                        pa.array([w.tobytes() for w in wide], pa.binary()),
-                        pa.array([len(g) for g in found], pa.int64()),
-                    ],
-                    names=["doc_id", "grams", "wide", "n"],
-                )
-
-    rows = docs.select(F.col("doc_id").cast("long"), binary_text().alias("text"), _slot().alias("slot"))
-    return rows.mapInArrow(lean(run), "doc_id long, grams binary, wide binary, n long")
+    schema = (
+        "id long, doc_id long, n long, p0 long, p1 long, h long, live long, prefix array<long>, first long, grams binary, "
+        + ", ".join(f"{b} long" for b in bits)
+    )
+    return exchange.exchanged(texts.mapInArrow(lean(deal), exchange.SCHEMA), buckets, assemble, schema)
 
 
 def _may_link(percent: int, a: str = "a", b: str = "b") -> Column:
@@ -211,56 +152,69 @@ def _may_link(percent: int, a: str = "a", b: str = "b") -> Column:
         Column.__add__,
         [F.bit_count(F.col(f"{x}.b{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}.b{k}")))) for k in range(LONGS)],
     )
-    most = F.least(na - lacks(a, b), nb - lacks(b, a))
+    most = F.least(F.col(f"{a}.live") - lacks(a, b), F.col(f"{b}.live") - lacks(b, a))
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (most * (100 + percent) >= (na + nb) * percent)
 
 
-def _verified(pairs: DataFrame, gram_table: DataFrame, percent: int) -> DataFrame:
+def signature(grams: np.ndarray) -> np.ndarray:
+    """A bitmap of eight bits a gram or more, a power of two of them, at most WIDEST."""
+    size = min(WIDEST, 1 << max(9, int(8 * len(grams) - 1).bit_length()))
+    return np.packbits(np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size) > 0, bitorder="little").view(np.uint64)
+
+
+def most_common(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> int:
+    """How many grams two sets share at most by their signatures; the longer one is folded to the shorter."""
+    if len(x) < len(y):
+        x, y, nx, ny = y, x, ny, nx
+    x = np.bitwise_or.reduce(x.reshape(-1, len(y)), axis=0)
+    return min(nx - int(np.bitwise_count(x & ~y).sum()), ny - int(np.bitwise_count(y & ~x).sum()))
+
+
+def _sets(sized: DataFrame) -> DataFrame:
+    """id, n, live, the sorted shared grams and their wide signature."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            wide = [signature(np.frombuffer(g.as_py(), np.uint64)).tobytes() for g in batch.column("grams")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(wide, pa.binary())], names=["id", "n", "live", "grams", "wide"])
+
+    return sized.select("id", "n", "live", "grams").mapInArrow(lean(run), "id long, n long, live long, grams binary, wide binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets truly reach the threshold: by wide signatures first, then by intersection."""
 
-    def both_sides(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    def both_sides(pairs: DataFrame, *columns: str) -> DataFrame:
         for side in ("a", "b"):
             renamed = [F.col(c).alias(f"{c}_{side}") for c in columns]
-            pairs = pairs.join(table.select(F.col("doc_id").alias(side), *renamed), side)
-        return pairs
+            pairs = pairs.join(sets.select(F.col("id").alias(side), *renamed), side)
+        return pairs.select(*[f"{c}_{s}" for c in columns for s in "ab"], "n_a", "n_b", "a", "b") if "n" not in columns else pairs
+
+    def kept(a: list, b: list, na: list, nb: list, good: list[bool]) -> pa.RecordBatch:
+        mask = pa.array(good, pa.bool_())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.int64()).filter(mask) for c in (a, b, na, nb)], names=["a", "b", "n_a", "n_b"]
+        )
+
+    enough = lambda both, na, nb: (100 + percent) * both >= percent * (na + nb)
 
     def bound(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for wa, wb, na, nb, a, b in batches(parts, ["wide_a", "wide_b", "n_a", "n_b", "a", "b"], 8 << 20):
-            x, y = (np.frombuffer(b"".join(w), np.uint64).reshape(len(a), -1) for w in (wa, wb))
-            na, nb = np.array(na, np.int64), np.array(nb, np.int64)
-            lacks = lambda p, q: np.bitwise_count(p & ~q).sum(1).astype(np.int64)
-            most = np.minimum(na - lacks(x, y), nb - lacks(y, x))
-            mask = pa.array((100 + percent) * most >= percent * (na + nb))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()).filter(mask), pa.array(b, pa.int64()).filter(mask)], names=["a", "b"]
-            )
+        names = ["wide_a", "wide_b", "live_a", "live_b", "n_a", "n_b", "a", "b"]
+        for wa, wb, la, lb, na, nb, a, b in batches(parts, names, 8 << 20):
+            read = lambda w: np.frombuffer(w, np.uint64)
+            most = [most_common(read(x), read(y), p, q) for x, y, p, q in zip(wa, wb, la, lb, strict=True)]
+            yield kept(a, b, na, nb, [enough(*m) for m in zip(most, na, nb, strict=True)])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ga, gb, a, b in batches(parts, ["grams_a", "grams_b", "a", "b"], 8 << 20):
-            keep = []
-            for x, y in zip(ga, gb, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append((100 + percent) * both >= percent * (len(x) + len(y)))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()).filter(mask), pa.array(b, pa.int64()).filter(mask)], names=["a", "b"]
-            )
-
-    near = both_sides(pairs, gram_table, "wide", "n").select("wide_a", "wide_b", "n_a", "n_b", "a", "b")
-    near = materialise(near.mapInArrow(lean(bound), "a long, b long"))
-    table = gram_table.sparkSession.sparkContext.broadcast(
-        _wanted(near.select(F.explode(F.array("a", "b")).alias("doc_id")))
-    )
+        for ga, gb, na, nb, a, b in batches(parts, ["grams_a", "grams_b", "n_a", "n_b", "a", "b"], 8 << 20):
+            read = lambda g: np.frombuffer(g, np.uint64)
+            both = [len(np.intersect1d(read(x), read(y), assume_unique=True)) for x, y in zip(ga, gb, strict=True)]
+            yield kept(a, b, na, nb, [enough(*m) for m in zip(both, na, nb, strict=True)])
 
-    def pick(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            part = _let_in(batch, table.value)
-            yield pa.RecordBatch.from_arrays(part.columns[:2], names=["doc_id", "grams"])
-
-    sets = gram_table.select("doc_id", "grams", _slot().alias("slot")).mapInArrow(lean(pick), "doc_id long, grams binary")
-    whole = both_sides(near, sets, "grams").select("grams_a", "grams_b", "a", "b")
-    return whole.mapInArrow(lean(run), "a long, b long")
+    schema = "a long, b long, n_a long, n_b long"
+    near = both_sides(pairs, "wide", "live", "n").select("wide_a", "wide_b", "live_a", "live_b", "n_a", "n_b", "a", "b")
+    near = near.mapInArrow(lean(bound), schema)
+    return both_sides(near, "grams").mapInArrow(lean(run), schema).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -294,84 +248,121 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _tiles(keys: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """Rows (key, doc_id, band, comp) that share their key with another component in their band or the next one."""
-    rows = keys.withColumn("comp", F.col("doc_id"))
+    """Rows (key, tile, id, band, pos, comp), each in the tile of its band and of the next one; a tile holds two
+    components at least. Only counts are grouped by tile, rows of a hot tile come in by a join."""
+    rows = keys.withColumn("comp", F.col("id"))
     if comp is not None:
-        rows = keys.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
-            "comp", F.coalesce("comp", "doc_id")
-        )
-    near = Window.partitionBy("key").orderBy("band").rangeBetween(-1, 1)
-    span = rows.withColumn("lo", F.min("comp").over(near)).withColumn("hi", F.max("comp").over(near))
-    return span.filter("lo <> hi").select("key", "doc_id", "band", "comp")
-
-
-def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
-    sized = materialise(_signatures(docs, width, percent, _sketch(docs, width)))
-    rows = materialise(sized.select("doc_id", "n", "p0", "p1"))
-    classes = rows.filter("n > 0").groupBy("p0", "p1", "n").agg(F.min("doc_id").alias("rep"))
-    reps = materialise(
-        sized.drop("p0", "p1").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    )
-    forget(sized)
-    # a gram of one class only joins nothing; what is left is the only place where links can be
+        rows = keys.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    rows = rows.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    mixed = rows.groupBy("key", "tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    return rows.join(mixed.select("key", "tile"), ["key", "tile"]).select("key", "tile", "id", "band", "pos", "comp")
+
+
+def labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: id, doc_id, n, p0, p1, h of every row; and p0, p1, n, comp, label of every class of rows."""
+    sized = materialise(_sized(docs, width, percent))
+    rows = materialise(sized.select("id", "doc_id", "n", "p0", "p1", "h"))
+    classes = rows.filter("n > 0").groupBy("p0", "p1", "n").agg(F.min("id").alias("rep"), F.min("doc_id").alias("least"))
+    classes = materialise(classes)
+    reps = sized.filter("live > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     base = -(-10000 // percent) / 100
     band = F.floor(F.log("n") / F.lit(float(np.log(base)))).cast("int").alias("band")
-    grams_of_reps = reps.select(F.explode("prefix").alias("key"), "doc_id", band)
-    keys = materialise(_tiles(grams_of_reps, None).drop("comp"))
-    small = materialise(reps.drop("prefix").join(keys.select("doc_id").distinct(), "doc_id", "left_semi"))
-    forget(reps)
+    every = reps.select("id", "n", "first", F.posexplode("prefix").alias("at", "key"))
+    keys = materialise(every.select("key", "id", band, (F.col("first") + F.col("at")).alias("pos")))
+    tiles = materialise(_tiles(keys, None))
+    some = tiles.select("id").distinct()
+    small = materialise(reps.drop("prefix", "grams", "p0", "p1", "doc_id", "h", "first").join(some, "id", "left_semi"))
+    sets = materialise(_sets(reps.join(some, "id", "left_semi")))
+    forget(sized, keys)
 
     edges, comp = None, None
     for turn in range(3):
-        tiles = materialise(_tiles(keys, comp)) if turn else keys.withColumn("comp", F.col("doc_id"))
-        pairs = _to_leaders(tiles, small, percent, turn) if turn < 2 else _all_pairs(tiles, small, percent)
-        pairs = materialise(pairs)
-        gram_table = materialise(_grams_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), width))
-        found = _verified(pairs, gram_table, percent)
-        edges = materialise(found if edges is None else edges.unionAll(found))
+        if turn:
+            last = tiles
+            tiles = materialise(_tiles(last.select("key", "id", "band", "pos").distinct(), comp))
+            forget(last, comp)
+        pairs = materialise(_to_leaders(tiles, small, percent, turn) if turn < 2 else _all_pairs(tiles, small, percent))
+        found = _verified(pairs, sets, percent)
+        more = materialise(found if edges is None else edges.unionAll(found))
+        forget(pairs, *([edges] if edges is not None else []))
+        edges = more
         comp = components(edges)
-        keys = tiles.drop("comp")
-        forget(pairs, gram_table)
-    forget(tiles, small)
-    labelled = classes.join(comp, classes.rep == comp.id, "left").select(
-        "p0", "p1", "n", F.coalesce("comp", "rep").alias("comp")
+    named = classes.join(comp, classes.rep == comp.id).groupBy("comp").agg(F.min("least").alias("label"))
+    named = comp.join(named, "comp").select("id", "comp", "label")
+    whole = classes.join(named, classes.rep == named.id, "left").select(
+        "p0", "p1", "n", F.coalesce("comp", "rep").alias("comp"), F.coalesce("label", "least").alias("label")
     )
-    return rows.join(labelled, ["p0", "p1", "n"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id")
+    whole = materialise(whole)
+    forget(tiles, small, sets, edges, comp, classes)
+    return rows, whole
+
+
+def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
+    rows, classes = labelled(docs, width, percent)
+    return rows.join(classes, ["p0", "p1", "n"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id")
     )
 
 
 def _to_leaders(tiles: DataFrame, small: DataFrame, percent: int, turn: int) -> DataFrame:
     """One pair at most for each class: with the leader that it shares most tiles with, if the bounds allow it."""
-    rank = F.struct((F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))).alias("order"), "doc_id", "comp")
-    rows = tiles.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    leaders = rows.groupBy("key", "tile").agg(F.min(rank).alias("l"))
-    leaders = leaders.select("key", "tile", F.col("l.doc_id").alias("lead"), F.col("l.comp").alias("lead_comp"))
-    votes = rows.join(leaders, ["key", "tile"]).filter("comp <> lead_comp").groupBy("doc_id", "lead").count()
-    best = votes.groupBy(F.col("doc_id").alias("one")).agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
-    best = best.join(small.alias("a"), F.col("a.doc_id") == F.col("one"))
-    best = best.join(small.alias("b"), F.col("b.doc_id") == F.col("lead")).filter(_may_link(percent))
+    rank = F.struct((F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))).alias("order"), "id", "comp")
+    leaders = tiles.groupBy("key", "tile").agg(F.min(rank).alias("l"))
+    leaders = leaders.select("key", "tile", F.col("l.id").alias("lead"), F.col("l.comp").alias("lead_comp"))
+    votes = tiles.join(leaders, ["key", "tile"]).filter("comp <> lead_comp").groupBy("id", "lead").count()
+    best = votes.groupBy(F.col("id").alias("one")).agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
+    best = best.join(small.alias("a"), F.col("a.id") == F.col("one"))
+    best = best.join(small.alias("b"), F.col("b.id") == F.col("lead")).filter(_may_link(percent))
     return best.select(F.least("one", "lead").alias("a"), F.greatest("one", "lead").alias("b")).distinct()
 
 
 def _all_pairs(tiles: DataFrame, small: DataFrame, percent: int) -> DataFrame:
-    """Every pair of a tile that lies in two components and passes the bounds."""
-    rows = tiles.join(small, "doc_id")
-    a = rows.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") + 1))).alias("a")
-    b = rows.withColumn("tile", F.col("band")).alias("b")
-    order = (F.col("a.band") < F.col("b.band")) | (F.col("a.doc_id") < F.col("b.doc_id"))
+    """Every pair of a tile that lies in two components and passes the bounds.
+
+    If the tile's gram is the first that two sets share, they share at most what is left of each from its place on. A
+    pair that links passes that test at its first shared gram, so it may fail it at others.
+    """
+    rows = tiles.join(small, "id")
+    a, b = rows.alias("a"), rows.filter("tile = band").alias("b")
+    order = (F.col("a.band") < F.col("b.band")) | (F.col("a.id") < F.col("b.id"))
     on = (F.col("a.key") == F.col("b.key")) & (F.col("a.tile") == F.col("b.tile"))
     apart = F.col("a.comp") != F.col("b.comp")
-    pairs = a.join(b, on & order & apart & _may_link(percent))
-    ids = F.col("a.doc_id"), F.col("b.doc_id")
+    left = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+    after = left * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent
+    pairs = a.join(b, on & order & apart & after & _may_link(percent))
+    ids = F.col("a.id"), F.col("b.id")
     return pairs.select(F.least(*ids).alias("a"), F.greatest(*ids).alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each component: the one with the smallest doc_id."""
-    kept = link(docs, width, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """docs with one row of each component, that with the smallest doc_id (null last), and all rows without a gram.
+
+    Rows go by (doc_id, text), so that unlike texts under one id, and rows without an id, are told apart. Texts are
+    moved only where a row that stays has equals.
+    """
+    name = free_name(docs, "text_hash")
+    marked = docs.withColumn(name, F.xxhash64(binary_text()))
+    rows, classes = labelled(docs, width, percent)
+    known = rows.filter("n > 0").join(classes, ["p0", "p1", "n"]).select("doc_id", "h", "comp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "h")).alias("w")
+    winners = known.groupBy("comp").agg(first).select("comp", "w.doc_id", "w.h", F.lit(True).alias("stays"))
+    # rows of one id and text are of one component
+    texts = known.groupBy("doc_id", "h").agg(F.first("comp").alias("comp"), F.count("*").alias("rows"))
+    same = (F.col("t.comp") == F.col("w.comp")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.h") == F.col("w.h"))
+    judged = texts.alias("t").join(winners.alias("w"), same, "left").select("t.doc_id", "t.h", "t.rows", "w.stays")
+    judged = materialise(judged.filter("stays IS NULL OR rows > 1"))
+    forget(rows, classes)
+
+    def of(where: str, how: str, df: DataFrame) -> DataFrame:
+        k = judged.filter(where).select(F.col("doc_id").alias("k_id"), F.col("h").alias("k_h"))
+        return df.join(k, (df[name] == k.k_h) & df["doc_id"].cast("long").eqNullSafe(k.k_id), how)
+
+    kept = of("stays IS NULL", "left_anti", marked)
+    if not judged.filter("stays").isEmpty():
+        once = of("stays", "left_semi", marked).dropDuplicates(["doc_id", name])
+        kept = of("stays", "left_anti", kept).unionByName(once)
+    return kept.drop(name)
 
 
 def brute_force(rows: list[tuple[int, str | None]], width: int, percent: int) -> dict[int, tuple[int, int]]:

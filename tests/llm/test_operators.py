@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearfield.llm import chat, common, decontam, html, langid, lm, mtree, ngram_join, packing, shards, toxicity
+from nearfield.llm import chat, common, decontam, exchange, html, langid, lm, mtree, ngram_join, packing, shards, toxicity
 
 SCHEMA = "doc_id long, text string, n long, score double, key string, path string, n_words long"
 
@@ -130,6 +130,52 @@ def test_keep_one_keeps_columns_and_clean_rows(docs, texts):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == want
 
 
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    """Unlike texts under one id, rows without an id and repeated rows: one row of each component stays, and every row without a gram."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(1, a), (1, b), (2, a.upper()), (None, c), (None, d), (5, d), (7, c + " more"), (3, None), (3, ""), (8, b), (9, "once"), (9, "once")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, text_hash string").repartition(3)
+    got = sorted((str(r.doc_id), r.text) for r in ngram_join.keep_one(df).collect())
+    assert got == sorted((str(i), t) for i, t in [(1, a), (1, b), (5, d), (7, c + " more"), (3, None), (3, ""), (9, "once")])
+
+
+def test_exchange_counts_every_shared_key(spark):
+    """Against a plain count, with a key that all items hold and items without keys."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    items = [np.unique(np.append(rng.integers(0, 3000, n).astype(np.uint64) << np.uint64(50), np.uint64(7))) for n in (0, 5, 200, 900, 900, 40)]
+    items.append(np.empty(0, np.uint64))
+    values, held = np.unique(np.concatenate(items), return_counts=True)
+    many = {int(v): int(c) for v, c in zip(values, held) if c > 1}
+
+    def deal(parts):
+        for batch in parts:
+            for chunk in batch.column(0).to_pylist():
+                some = items[3 * chunk : 3 * chunk + 3]
+                yield exchange.dealt(chunk, np.concatenate(some), np.repeat(np.arange(len(some)), [len(x) for x in some]), b"p", 4)
+
+    def assemble(chunk, payload, keys, owner, total):
+        assert payload == b"p"
+        return pa.RecordBatch.from_arrays(
+            [pa.array(3 * chunk + owner), pa.array(keys.view(np.int64)), pa.array(total)], names=["item", "key", "total"]
+        )
+
+    rows = spark.range(0, 3, 1, 3).mapInArrow(deal, exchange.SCHEMA)
+    got = sorted((r.item, r.key, r.total) for r in exchange.exchanged(rows, 4, assemble, "item long, key long, total long").collect())
+    want = [(k, int(np.uint64(g).view(np.int64)), many[int(g)]) for k, x in enumerate(items) for g in x if int(g) in many]
+    assert got == sorted(want) and len(got) > 500
+
+
+def test_wide_signatures_never_bound_too_low():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        both = rng.integers(0, 1 << 63, rng.integers(1, 900)).astype(np.uint64)
+        x, y = (np.unique(np.append(both, rng.integers(0, 1 << 63, rng.integers(0, 4000)).astype(np.uint64))) for _ in "xy")
+        most = ngram_join.most_common(ngram_join.signature(x), ngram_join.signature(y), len(x), len(y))
+        assert len(np.intersect1d(x, y)) <= most <= min(len(x), len(y))
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.id: r.comp for r in ngram_join.components(edges).collect()}
