@@ -11,12 +11,14 @@ class histogram reaches the driver, and only counts for each task and class are
 Tokens are those of the tokenizer for the whole text. It treats the stretches between ASCII white space apart, so
 the ids of a stretch are remembered; the table of them is emptied when it is full.
 
-Edge cases: null and empty texts are one piece, the end id alone; a rest of 0 ids makes no piece; documents with
-equal ids are told apart by their place; an empty table gives no piece.
+Edge cases: null and empty texts are one piece, the end id alone; a rest of 0 ids makes no piece; rows that repeat a
+doc_id, equal texts among them, are packed each for itself; a text of any length is cut into windows; rests of one class
+go by their place; an empty table gives no piece; only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import types
@@ -37,17 +39,30 @@ CLASSES = 128
 DEPTH = 3
 END_ID = 1
 _STRETCHES = 1_200_000
+#: The normaliser of a tokenizer whose stretches between white space may be encoded apart, and what stands between them.
+APART = ["NFC", "Replace", "Lowercase"]
+_MARK = "\0"
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\s]|\Z)")
 
 
 class Ids(dict):
-    """The ids of a stretch as little-endian 32-bit bytes."""
+    """The ids of a stretch as little-endian 32-bit bytes.
+
+    Stretches are told apart only for a tokenizer that drops case and white space (`APART`); with any other, whole texts
+    are encoded.
+    """
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        steps = (rules["normalizer"] or {}).get("normalizers", [])
+        cuts = (rules["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.apart = [r["type"] for r in steps] == APART and cuts[0].get("behavior") == "Removed" and len(mark) == 1
+        self.mark = mark[0] if self.apart else -1
 
     @classmethod
     def kept(cls, path: str) -> Ids:
@@ -65,20 +80,35 @@ class Ids(dict):
             text = _STOP.sub(rb" \1", text.translate(LOWER))
         return text.split()
 
+    def encoded(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, "<u4") for e in found]
+
     def learn(self, stretches: set[bytes]) -> None:
-        new = [s for s in stretches if s not in self]
+        """Encodes new stretches, many in one text with a mark between; those that hold the mark on their own."""
+        new = stretches.difference(self)
         if len(self) + len(new) > _STRETCHES:
             self.clear()
-            new = list(stretches)
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            texts = [s.decode("utf-8", "replace") for s in some]
-            for s, e in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                self[s] = np.asarray(e.ids, "<u4").tobytes()
+            new = stretches
+        mark = _MARK.encode()
+        odd = [s for s in new if mark in s or b"<|" in s]
+        for s, ids in zip(odd, self.encoded(odd), strict=True):
+            self[s] = ids.tobytes()
+        plain = list(new.difference(odd)) if odd else list(new)
+        for at in range(0, len(plain), 20_000):
+            parts = [plain[k : min(k + 200, at + 20_000)] for k in range(at, min(at + 20_000, len(plain)), 200)]
+            for part, ids in zip(parts, self.encoded([b" \0 ".join(p) for p in parts]), strict=True):
+                whole, start = ids.tobytes(), 0
+                for s, end in zip(part, [*(4 * np.flatnonzero(ids == self.mark)).tolist(), len(whole)], strict=True):
+                    self[s] = whole[start:end]
+                    start = end + 4
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text with the end id."""
         end = np.uint32(END_ID).tobytes()
+        if not self.apart:
+            yield from (ids.tobytes() + end for ids in self.encoded(texts))
+            return
         split = [self.stretches(t) for t in texts]
         self.learn(set().union(*split))
         for one in split:
@@ -86,7 +116,8 @@ class Ids(dict):
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
-    """Non-negative least squares by active sets (Lawson and Hanson)."""
+    """Non-negative least squares by active sets (Lawson and Hanson). Fewer rounds than it takes to rest only cost padding:
+    `plan` covers the histogram exactly from any non-negative counts."""
     n = a.shape[1]
     x, passive = np.zeros(n), np.zeros(n, bool)
     gram, right = a.T @ a, a.T @ b
