@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -48,8 +49,12 @@ def forget(*tables: DataFrame) -> None:
             place = jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
     gc.collect()
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()
+    jvm = SparkSession.getActiveSession()._jvm
+    # a worker thread tells the JVM which objects Python dropped; only after that can their shuffles go
+    waiting, until = getattr(jvm._gateway_client, "finalizer_deque", ()), time.monotonic() + 2
+    while waiting and time.monotonic() < until:
+        time.sleep(0.02)
+    jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

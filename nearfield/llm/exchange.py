@@ -59,6 +59,11 @@ def unpacked(body: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, _unplaned(whole, 8 * n, n, np.uint16), _unplaned(whole, 10 * n, n, np.uint32)
 
 
+def dealt_counts(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """The rows of a chunk that keeps its items elsewhere: distinct sorted keys and how many of its items hold each."""
+    return _batch(_cut(chunk, keys, np.zeros(len(keys), np.uint16), counts, buckets))
+
+
 def dealt(chunk: int, keys: np.ndarray, owner: np.ndarray, payload: bytes, buckets: int) -> pa.RecordBatch:
     """The rows that a chunk sends. keys: of all items, distinct within an item; owner: the item of each."""
     order = np.argsort(keys, kind="stable")
@@ -68,14 +73,23 @@ def dealt(chunk: int, keys: np.ndarray, owner: np.ndarray, payload: bytes, bucke
     several = np.repeat(counts > 1, counts)
     own = packed(keys[several], owner[several], np.zeros(int(several.sum()), np.uint32))
     rows = [(int(chunk % buckets), chunk, 1, int(several.sum()), len(own).to_bytes(8, "little") + own + payload)]
-    distinct, holder = keys[first], np.where(counts > 1, _MANY, owner[first])
+    return _batch(rows + _cut(chunk, keys[first], np.where(counts > 1, _MANY, owner[first]), counts, buckets))
+
+
+def _cut(chunk: int, distinct: np.ndarray, holder: np.ndarray, counts: np.ndarray, buckets: int) -> list[tuple]:
+    rows = []
     ends = np.searchsorted(((distinct >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(ends)).tolist():
         part = slice(ends[b], ends[b + 1])
         rows.append((b, chunk, 0, int(ends[b + 1] - ends[b]), packed(distinct[part], holder[part], counts[part])))
+    return rows
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    columns = list(zip(*rows, strict=True)) or [()] * 5
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "chunk", "kind", "n", "body"]
+        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "chunk", "kind", "n", "body"]
     )
 
 
@@ -97,14 +111,10 @@ def _answers(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
             out.append((0, chunk, 0, int(live.sum()), packed(own[live], holder[live], np.minimum(held[live], 0xFFFFFFFF))))
         at += n
     if out:
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
-            names=["bucket", "chunk", "kind", "n", "body"],
-        )
+        yield _batch(out)
 
 
-def _runs(parts: Iterator[pa.RecordBatch], by: str) -> Iterator[list[dict]]:
+def runs(parts: Iterator[pa.RecordBatch], by: str) -> Iterator[list[dict]]:
     """Rows with one value of the column they are sorted by."""
     waiting: list[dict] = []
     for batch in parts:
@@ -117,36 +127,49 @@ def _runs(parts: Iterator[pa.RecordBatch], by: str) -> Iterator[list[dict]]:
         yield waiting
 
 
-def exchanged(
-    rows: DataFrame, buckets: int, assemble: Callable[[int, bytes, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], schema: str
-) -> DataFrame:
-    """Runs assemble(chunk, payload, keys, owner, total) for each chunk of the dealt rows: every pair of a key and an
-    item that holds it, for the keys that two items of the table at least hold, with the number of such items."""
+def answered(rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows of the same schema: for each chunk and bucket the keys that two items at least hold with their totals, and
+    the chunks' own rows (kind 1) as they came."""
 
     def meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(parts, "bucket"):
-            through = [r for r in run if r["kind"] == 1]
+        for run in runs(parts, "bucket"):
+            through = [(r["bucket"], r["chunk"], r["kind"], r["n"], r["body"]) for r in run if r["kind"] == 1]
             for r in through:
-                yield pa.RecordBatch.from_pylist([r], pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("n", pa.int32()), ("body", pa.binary())]))
+                yield _batch([r])
             if len(through) < len(run):
                 yield from _answers([(r["chunk"], r["n"], r["body"]) for r in run if r["kind"] == 0])
 
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(meet), SCHEMA)
+
+
+def exchanged(
+    rows: DataFrame, buckets: int, assemble: Callable[[int, bytes, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], schema: str
+) -> DataFrame:
+    """Runs assemble(chunk, payload, keys, owner, total) for each chunk of the dealt rows: every pair of a key and an
+    item that holds it, for the keys that two items of the table at least hold, with the number of such items."""
+
     def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(parts, "chunk"):
+        for run in runs(parts, "chunk"):
             mine = next(r for r in run if r["kind"] == 1)
             size = int.from_bytes(mine["body"][:8], "little")
             keys, owner, _ = unpacked(mine["body"][8 : 8 + size], mine["n"])
-            replies = [unpacked(r["body"], r["n"]) for r in run if r["kind"] == 0]
-            if replies:
-                k, o, t = (np.concatenate(c) for c in zip(*replies, strict=True))
-                several = o == _MANY
-                order = np.argsort(k[several])
-                total = t[several][order][np.searchsorted(k[several][order], keys)] if len(keys) else np.empty(0, np.uint32)
-                keys, owner = np.concatenate([k[~several], keys]), np.concatenate([o[~several], owner])
-                total = np.concatenate([t[~several], total])
-            else:
-                total = np.empty(0, np.uint32)
+            k, o, t = replies(run)
+            several = o == _MANY
+            order = np.argsort(k[several])
+            total = t[several][order][np.searchsorted(k[several][order], keys)] if len(keys) else np.empty(0, np.uint32)
+            keys, owner = np.concatenate([k[~several], keys]), np.concatenate([o[~several], owner])
+            total = np.concatenate([t[~several], total])
             yield assemble(mine["chunk"], mine["body"][8 + size :], keys, owner.astype(np.int64), total.astype(np.int64))
 
-    met = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(meet), SCHEMA)
-    return met.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(lean(gather), schema)
+    return by_chunk(answered(rows, buckets), gather, schema)
+
+
+def replies(run: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """keys, owners and totals of a chunk's answers."""
+    found = [unpacked(r["body"], r["n"]) for r in run if r["kind"] == 0]
+    found.append((np.empty(0, np.uint64), np.empty(0, np.uint16), np.empty(0, np.uint32)))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def by_chunk(rows: DataFrame, gather: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    return rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(lean(gather), schema)

@@ -6,14 +6,21 @@ inside `article` or `main` is content, also where chrome from outside holds them
 but chrome has it as open blocks. A page's text is its open and content blocks without what
 its host repeats.
 
-For that the token streams of a host's pages are one text, and its suffixes, cut at `REPEAT` tokens, are dealt by host
-and leading tokens (64-bit hashes stand for both) and sorted: shards of the host's suffix array, so that a large host
-is never in one task. Neighbours with the same leading tokens on distinct pages are a repeated passage. Open tokens in
-one go. Landmarks guard an article, as its text is wanted whole even where some other pages repeat it: content tokens go
-only if `COMMON` pages at least and more than half of the host's pages hold the passage, and not if no content is left.
+For that the token streams of a host's pages are one text with a suffix array, whose order matters only as far as it
+tells whether two suffixes share `REPEAT` tokens: neighbours that do, on distinct pages, are the heads of repeated
+passages, and consecutive heads make up the longest ones, whatever their length. So suffixes are sorted by their
+leading tokens, a hash of which, with the host, stands for them; shards of the sorted array are buckets of an exchange
+(`exchange.py`), and a host of any size is dealt over all of them. A bucket tells the pages how many distinct pages
+hold each head. Open tokens that two pages hold go. Landmarks guard an article, as its text is wanted whole even where
+some other pages repeat it: content tokens go only if `COMMON` pages at least and more than half of the host's pages
+hold the passage, and not if no content is left.
+
+A hash has as many bits as make a chance match rarer than one in a million suffixes, whatever their number, up to 64.
 
 Edge cases: null or empty html gives the empty text; a tag that the page's end cuts off is dropped; a reference
-that it cuts off stays as it is; pages with a null url share one host; repeated pages (one page_id) count as one.
+that it cuts off stays as it is; pages with a null url share one host; rows that repeat a page count as pages of their
+own, so the open text of a page that is there twice goes; a page of any length is read whole; a head that a page holds
+twice counts once; an empty table gives no row; only page_id, url and html are read, other columns may have any name.
 """
 
 from __future__ import annotations
@@ -25,15 +32,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import lean, materialise
+from nearfield.llm import exchange
+from nearfield.llm.common import forget, lean, materialise
 
 #: Tokens that a repeated passage has at least.
 REPEAT = 8
 #: Pages that hold a passage at least before it goes from content.
 COMMON = 3
+#: Bytes of html in one chunk.
+CHUNK_BYTES = 8 << 20
 
 #: Elements by what they do to the text (fixed by HTML).
 BLOCK_TAGS = frozenset(
@@ -162,11 +174,13 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, and the kinds and texts of the blocks that are not chrome."""
+    """chunk, kind, n and body: some pages each, packed, with page_id, url, host, and the kinds and texts of the blocks
+    that are not chrome."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
         for batch in parts:
-            step = max(1, batch.num_rows * (8 << 20) // max(batch.column(2).nbytes, 1))
+            step = min(exchange.ITEMS, max(1, batch.num_rows * CHUNK_BYTES // max(batch.column(2).nbytes, 1)))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 hosts, kinds, texts = [], [], []
@@ -176,19 +190,27 @@ def parse(pages: DataFrame) -> DataFrame:
                     hosts.append(host[1].lower() if host else "")
                     kinds.append([k for k, _ in blocks])
                     texts.append([t for _, t in blocks])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        part.column(1),
-                        pa.array(hosts, pa.string()),
-                        pa.array(kinds, pa.list_(pa.int32())),
-                        pa.array(texts, pa.list_(pa.string())),
-                    ],
+                read = pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), *(pa.array(c, t) for c, t in ((hosts, pa.string()), (kinds, pa.list_(pa.int8())), (texts, pa.list_(pa.string()))))],
                     names=["page_id", "url", "host", "kinds", "blocks"],
                 )
+                yield pa.RecordBatch.from_pydict(
+                    {"chunk": [chunk], "kind": pa.array([1], pa.int32()), "n": pa.array([part.num_rows], pa.int32()), "body": [_packed(read)]}
+                )
+                chunk += 1
+
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(lean(run), "chunk long, kind int, n int, body binary")
+
+
+def _packed(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as writer:
+        writer.write_batch(rows)
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
 
-    schema = "page_id long, url string, host string, kinds array<int>, blocks array<string>"
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(lean(run), schema)
+
+def _opened(body: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(body)).read_next_batch()
 
 
 class _Hashes(dict):
@@ -217,80 +239,48 @@ def heads_of(host: int, blocks: list[str], hashes: _Hashes, least: int) -> tuple
     key = np.full(len(at), host, np.uint64)
     for k in range(least):
         key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + one[at + k])
-    return key.view(np.int64), at
+    return key, at
+
+
+def mask_for(suffixes: int) -> np.uint64:
+    """The leading bits of a hash that are compared: 20 and more beyond the binary logarithm of the suffixes' number."""
+    bits = min(64, -(-(max(suffixes, 1).bit_length() + 20) // 8) * 8)
+    return np.uint64(((1 << bits) - 1) << (64 - bits))
 
 
-def repeated(pages: DataFrame, least: int = REPEAT) -> DataFrame:
-    """page_id, keys, counts: the leading tokens that distinct pages of a host share, and by how many; the host's own
-    key has the number of its pages."""
+def heads(chunks: DataFrame, least: int, buckets: int, mask: np.uint64) -> DataFrame:
+    """What each chunk sends: its distinct heads with the number of its pages that hold them; a host's own key has the
+    number of its pages."""
 
-    def suffixes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in parts:
-            for at in range(0, batch.num_rows, 64):
-                keys, ids = [], []
-                for host, page_id, blocks in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
-                    if page_id is not None:
-                        own = hashes[host]
-                        key = np.unique(np.append(heads_of(own, blocks, hashes, least)[0], np.uint64(own).view(np.int64)))
-                        keys.append(key), ids.append(np.full(len(key), page_id))
-                if keys:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], names=["key", "page_id"]
-                    )
-
-    def neighbours(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def shared(key: np.ndarray, page: np.ndarray) -> pa.RecordBatch:
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (page[1:] != page[:-1])
-            key, page = key[new], page[new]
-            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            counts = np.diff(np.append(starts, len(key)))
-            n = np.repeat(counts, counts)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(x[n > 1]) for x in (page, key, n)], names=["page_id", "key", "n"]
-            )
+            for chunk, body in zip(*(batch.column(c).to_pylist() for c in ("chunk", "body")), strict=True):
+                found = []
+                pages = _opened(body)
+                for host, blocks in zip(pages.column("host").to_pylist(), pages.column("blocks").to_pylist(), strict=True):
+                    own = hashes[host]
+                    found.append(np.unique(np.append(heads_of(own, blocks, hashes, least)[0], np.uint64(own)) & mask))
+                keys, counts = np.unique(np.concatenate(found), return_counts=True)
+                yield exchange.dealt_counts(chunk, keys, counts, buckets)
 
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []  # of the last key, whose run may go on
-        for batch in parts:
-            key, page = (c.to_numpy() for c in batch.columns)
-            if not len(key):
-                continue
-            cut = int(np.searchsorted(key, key[-1]))
-            if cut or (waiting and waiting[0][0][0] != key[-1]):
-                waiting.append((key[:cut], page[:cut]))
-                yield shared(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
-                waiting = []
-            waiting.append((key[cut:], page[cut:]))
-        if waiting:
-            yield shared(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
-
-    shards = (
-        pages.select("host", "page_id", "blocks")
-        .mapInArrow(lean(suffixes), "key long, page_id long")
-        .repartition("key")
-        .sortWithinPartitions("key", "page_id")
-    )
-    hits = shards.mapInArrow(lean(neighbours), "page_id long, key long, n long")
-    return hits.groupBy("page_id").agg(F.collect_list(F.struct("key", "n")).alias("shared"))
-
-
-def text_of(host: int, kinds: list[int], blocks: list[str], shared: dict[int, int], hashes: _Hashes, least: int) -> str:
-    """The blocks without the tokens of repeated passages; content by the stricter rule."""
-    key, at = heads_of(host, blocks, hashes, least)
-    pages = shared.get(int(np.uint64(host).view(np.int64)), 1)
-    times = np.fromiter((shared.get(k, 1) for k in key.tolist()), np.int64, len(key))
+    return chunks.select("chunk", "body").mapInArrow(lean(run), exchange.SCHEMA)
+
+
+def text_of(kinds: list[int], blocks: list[str], at: np.ndarray, times: np.ndarray, pages: int, least: int) -> str:
+    """The blocks without the tokens of repeated passages; times: how many of the host's pages hold the head that
+    stands at `at`. Content goes by the stricter rule."""
     sizes = [block.count(" ") + 1 for block in blocks]
     content = np.repeat(np.asarray(kinds) == _CONTENT, sizes)
     hit = np.where(content[at], (times >= COMMON) & (2 * times > pages), times > 1) if len(at) else np.zeros(0, bool)
+    if not hit.any():
+        return "\n".join(blocks)
     gone = np.zeros(len(content) + 1, np.int64)
     np.add.at(gone, at[hit], 1)
     np.add.at(gone, at[hit] + least, -1)
     gone = np.cumsum(gone)[:-1] > 0
     if gone[content].all():
         gone &= ~content
-    if not gone.any():
-        return "\n".join(blocks)
     kept, start = [], 0
     for block, size in zip(blocks, sizes, strict=True):
         left = " ".join(t for t, g in zip(block.split(" "), gone[start : start + size], strict=True) if not g)
@@ -300,31 +290,40 @@ def text_of(host: int, kinds: list[int], blocks: list[str], shared: dict[int, in
     return "\n".join(kept)
 
 
-def without_repeats(pages: DataFrame, least: int = REPEAT) -> DataFrame:
-    """page_id, url, text of parsed pages: what their host doesn't repeat."""
+def without_repeats(chunks: DataFrame, answers: DataFrame, least: int, mask: np.uint64) -> DataFrame:
+    """page_id, url, text of the parsed pages: what their host doesn't repeat."""
 
     def strip(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        for batch in parts:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                texts = []
-                for host, kinds, blocks, shared in zip(*(c.to_pylist() for c in part.columns[2:]), strict=True):
-                    if shared and blocks:
-                        counts = {r["key"]: r["n"] for r in shared}
-                        texts.append(text_of(hashes[host], kinds, blocks, counts, hashes, least))
-                    else:
-                        texts.append("\n".join(blocks))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"]
-                )
+        for run in exchange.runs(parts, "chunk"):
+            known, _, totals = exchange.replies(run)
+            order = np.argsort(known)
+            known, totals = np.append(known[order], np.uint64(0)), np.append(totals[order], 1).astype(np.int64)
+
+            def held(keys: np.ndarray) -> np.ndarray:
+                place = np.searchsorted(known[:-1], keys & mask)  # noqa: B023
+                return np.where(known[place] == keys & mask, totals[place], 1)  # noqa: B023
+
+            pages = _opened(next(r["body"] for r in run if r["kind"] == 1))
+            texts = []
+            for host, kinds, blocks in zip(*(c.to_pylist() for c in pages.columns[2:]), strict=True):
+                own = hashes[host]
+                key, at = heads_of(own, blocks, hashes, least)
+                texts.append(text_of(kinds, blocks, at, held(key), int(held(np.array([own], np.uint64))[0]), least))
+            yield pa.RecordBatch.from_arrays(
+                [pages.column(0), pages.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"]
+            )
 
-    joined = pages.join(materialise(repeated(pages, least)), "page_id", "left")
-    joined = joined.select("page_id", "url", "host", "kinds", "blocks", "shared")
-    return joined.mapInArrow(lean(strip), "page_id long, url string, text string")
+    rows = chunks.unionByName(answers.filter("kind = 0").select("chunk", "kind", "n", "body"))
+    return exchange.by_chunk(rows, strip, "page_id long, url string, text string")
 
 
 def extract(pages: DataFrame, least: int = REPEAT) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
-    texts = without_repeats(parse(pages), least)  # parsed twice, as that takes no disk
+    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    buckets, mask = max(1, -(-size // exchange.BUCKET_BYTES)), mask_for(size // 4)
+    chunks = materialise(parse(pages))
+    answers = materialise(exchange.answered(heads(chunks, least, buckets, mask), buckets))
+    forget()  # the exchange's shuffle
+    texts = without_repeats(chunks, answers, least, mask)
     return texts.withColumn("n_chars", F.length("text").cast("long"))

@@ -135,8 +135,8 @@ def test_keep_one_tells_rows_of_one_id_apart(spark):
     a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
     rows = [(1, a), (1, b), (2, a.upper()), (None, c), (None, d), (5, d), (7, c + " more"), (3, None), (3, ""), (8, b), (9, "once"), (9, "once")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, text_hash string").repartition(3)
-    got = sorted((str(r.doc_id), r.text) for r in ngram_join.keep_one(df).collect())
-    assert got == sorted((str(i), t) for i, t in [(1, a), (1, b), (5, d), (7, c + " more"), (3, None), (3, ""), (9, "once")])
+    got = sorted((str(r.doc_id), str(r.text)) for r in ngram_join.keep_one(df).collect())
+    assert got == sorted((str(i), str(t)) for i, t in [(1, a), (1, b), (5, d), (7, c + " more"), (3, None), (3, ""), (9, "once")])
 
 
 def test_exchange_counts_every_shared_key(spark):
@@ -363,6 +363,41 @@ def test_html_suffixes_decide_on_pages_with_landmarks(spark):
     assert got[30] == f"see also\n{long_text}"
 
 
+def test_html_suffixes_match_brute_force(spark, monkeypatch):
+    """Every substring of REPEAT tokens of every page against all others of its host, over chunks of two pages."""
+    rng = random.Random(9)
+    shared = [" ".join(f"s{k}_{j}" for j in range(rng.randint(6, 30))) for k in range(6)]
+    pages = []
+    for k in range(40):
+        host, blocks = f"h{k % 3}.org", []
+        for _ in range(rng.randint(1, 6)):
+            words = [f"u{rng.randint(0, 10**9)}" for _ in range(rng.randint(1, 12))]
+            words[len(words) // 2 : len(words) // 2] = rng.choice(shared).split() if rng.random() < 0.6 else []
+            blocks.append((rng.random() < 0.5, " ".join(words)))
+        pages.append((k, host, blocks))
+    least, want = html.REPEAT, {}
+    windows = lambda t: [tuple(t.split()[i : i + least]) for i in range(len(t.split()) - least + 1)]
+    for k, host, blocks in pages:
+        others = [{w for _, t in b for w in windows(t)} for _, h, b in pages if h == host]
+        marks = []
+        for content, text in blocks:
+            gone = [False] * len(text.split())
+            for i, w in enumerate(windows(text)):
+                times = sum(w in o for o in others)
+                if (times >= html.COMMON and 2 * times > len(others)) if content else times > 1:
+                    gone[i : i + least] = [True] * least
+            marks.append(gone)
+        if all(all(g) for (content, _), g in zip(blocks, marks) if content):
+            marks = [[False] * len(g) if content else g for (content, _), g in zip(blocks, marks)]
+        kept = (" ".join(w for w, g in zip(t.split(), gone) if not g) for (_, t), gone in zip(blocks, marks))
+        want[k] = "\n".join(t for t in kept if t)
+    part = lambda content, text: f"<article><p>{text}</p></article>" if content else f"<div><p>{text}</p></div>"
+    rows = [(k, f"http://{h}/{k}", "".join(part(*b) for b in blocks)) for k, h, blocks in pages]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert got == want and sum(len(b[2]) for b in rows) > 0 and any(len(t.split("\n")) > 1 for t in want.values())
+
+
 def test_html_chrome_names_are_whole():
     of = lambda page: [t for _, t in html.blocks_of(page)]
     assert of("<article><div class='entry-header'><h1>Head</h1></div><div class='header'>line</div><p>text</p></article>") == ["Head", "line", "text"]
