@@ -45,9 +45,7 @@ def forget(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_nearfield_path", None)
         if path is not None:
-            jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+            remove(df.sparkSession, path)
     gc.collect()
     jvm = SparkSession.getActiveSession()._jvm
     # a worker thread tells the JVM which objects Python dropped; only after that can their shuffles go
@@ -100,13 +98,25 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return task
 
 
-def numbered(df: DataFrame, group: str, counted: str = "slot_in_task", task: str = "task_id") -> DataFrame:
+def numbered(df: DataFrame, group: str, counted: str = "slot_in_task", task: str = "task_id", position: str = "position") -> DataFrame:
     """Adds `position`, gapless from 0 in each group, to rows that carry (task, group, number in that pair).
 
     df must be materialised: its (task, number) pairs stay fixed. Only one count for each task and group is
     sorted in a window, never the rows.
     """
-    counts = df.groupBy(group, task).agg((F.max(counted) + 1).alias("n_"))
+    n, start = free_name(df, "n"), free_name(df, "start")
+    counts = df.groupBy(group, task).agg((F.max(counted) + 1).alias(n))
     before = Window.partitionBy(group).orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(group, task, F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_"))
-    return df.join(starts, [group, task]).withColumn("position", F.col("start_") + F.col(counted)).drop("start_")
+    starts = counts.select(group, task, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    return df.join(starts, [group, task]).withColumn(position, F.col(start) + F.col(counted)).drop(start)
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns of these names in any case: an appended column replaces one that df has already."""
+    gone = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

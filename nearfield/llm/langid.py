@@ -9,10 +9,13 @@ Bytes are first mapped to at most `CODES` classes: letters without case, one cla
 and other ASCII, and the most frequent bytes above 127.
 
 The trees are fitted on a bounded sample: for each language the `SAMPLE_DOCS` labelled documents with the smallest
-hash of their id, of those up to `SAMPLE_BYTES` bytes. Scoring covers every row.
+hash of their id, whole texts. Scoring covers every row. A model has a table of `CODES` ** 4 costs for each language, so
+more than `LANGUAGES` of them are refused.
 
 Edge cases: null text or text without a letter is `und` with score 0; equal code lengths go to the language that
-sorts first; with no training rows at all every text is `und`; repeated rows give repeated results.
+sorts first; with no training rows at all every text is `und`; repeated rows give repeated results; long texts are
+summed in blocks; an empty table gives no row; columns called lang_pred or lang_score are replaced, all others pass
+through.
 """
 
 from __future__ import annotations
@@ -25,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import batches, binary_text, lean
+from nearfield.llm.common import batches, binary_text, lean, without
 
 CODES = 48
 SAMPLE_DOCS = 500
-SAMPLE_BYTES = 1 << 16
 ORDER = 3
+LANGUAGES = 48
+#: Bytes whose costs are looked up at a time.
+BLOCK = 1 << 18
 
 
 @dataclass
@@ -82,11 +87,10 @@ def distribution(counts: np.ndarray) -> np.ndarray:
 def training_sample(docs: DataFrame, lang: str = "lang", docs_each: int = SAMPLE_DOCS) -> DataFrame:
     """(lang, text) of a bounded sample of labelled rows, the same for any partitioning."""
     rows = docs.filter(F.col(lang).isNotNull() & F.col("text").isNotNull())
-    # the text is not in this plan's ranking: ids and lengths only
+    # the text is not in this plan's ranking: ids only
     first = Window.partitionBy(lang).orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = (
-        rows.filter(F.octet_length("text") <= SAMPLE_BYTES)
-        .select("doc_id", lang)
+        rows.select("doc_id", lang)
         .withColumn("n_", F.row_number().over(first))
         .filter(F.col("n_") <= docs_each)
         .select("doc_id")
@@ -100,15 +104,24 @@ def fit(docs: DataFrame, docs_each: int = SAMPLE_DOCS) -> Model:
     rows = training_sample(docs, docs_each=docs_each).sortWithinPartitions("lang")
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, np.ndarray] = {}
+        seen: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
         for lang, text in batches(parts, ["lang", "text"], 1 << 20):
             for one in set(lang):
-                own = [t for la, t in zip(lang, text, strict=True) if la == one]
-                stream = np.frombuffer(b"   ".join([b"", *own]), np.uint8).astype(np.int64)
-                grams = (stream[:-3] << 24) | (stream[1:-2] << 16) | (stream[2:-1] << 8) | stream[3:]
-                seen[one] = np.concatenate([seen[one], grams]) if one in seen else grams
-        for one, grams in seen.items():
-            keys, n = np.unique(grams, return_counts=True)
+                whole = b"   ".join([b"", *[t for la, t in zip(lang, text, strict=True) if la == one]])
+                for at in range(0, len(whole) - 3, BLOCK):
+                    stream = np.frombuffer(whole[at : at + BLOCK + 3], np.uint8).astype(np.int64)
+                    grams = (stream[:-3] << 24) | (stream[1:-2] << 16) | (stream[2:-1] << 8) | stream[3:]
+                    own = seen.setdefault(one, [])
+                    own.append(np.unique(grams, return_counts=True))
+                    if len(own) == 16:
+                        seen[one] = [merged(own)]
+        for one, own in seen.items():
+            keys, n = merged(own)
             yield pa.RecordBatch.from_pydict(
                 {"lang": pa.array([one] * len(keys), pa.string()), "gram": pa.array(keys), "n": pa.array(n)}
             )
@@ -116,9 +129,11 @@ def fit(docs: DataFrame, docs_each: int = SAMPLE_DOCS) -> Model:
     grams = rows.mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = grams.toPandas()
     languages = sorted(found.lang.unique())
+    if len(languages) > LANGUAGES:
+        raise ValueError(f"{len(languages)} languages; a model has {LANGUAGES} at most")
     histogram = np.bincount(found.gram & 255, weights=found.n, minlength=256)
     code_of = byte_classes(histogram)
-    bits = np.empty((CODES ** (ORDER + 1), len(languages)), np.float16)
+    bits = np.empty((CODES ** (ORDER + 1), len(languages)), np.float32)
     for k, lang in enumerate(languages):
         own = found[found.lang == lang]
         gram = own.gram.to_numpy()
@@ -138,12 +153,31 @@ def code_lengths(texts: list[bytes], model: Model) -> np.ndarray:
     """Bits of each text under each language."""
     if not texts:
         return np.zeros((0, len(model.languages)))
-    index, starts = coded(texts, model.code_of)
-    out = np.empty((len(texts), len(model.languages)))
-    ends = np.append(starts[1:] - 3, len(index)) if len(texts) > 1 else np.array([len(index)])
-    sums = np.zeros((len(index) + 1, len(model.languages)), np.float64)
-    np.cumsum(model.bits.take(index, axis=0), axis=0, dtype=np.float64, out=sums[1:])
-    out[:] = sums[ends] - sums[starts]
+    out, few, size = np.empty((len(texts), len(model.languages))), [], 0
+
+    def together(rows: list[int]) -> None:
+        index, starts = coded([texts[k] for k in rows], model.code_of)
+        ends = np.append(starts[1:] - 3, len(index))
+        sums = np.zeros((len(index) + 1, len(model.languages)))
+        np.cumsum(model.bits.take(index, axis=0), axis=0, dtype=np.float64, out=sums[1:])
+        out[rows] = sums[ends] - sums[starts]
+
+    for k, text in enumerate(texts):
+        if len(text) > BLOCK:  # the three bytes before a block are its first contexts
+            out[k] = 0
+            for at in range(0, len(text), BLOCK):
+                codes = model.code_of[np.frombuffer(text[max(at - 3, 0) : at + BLOCK], np.uint8)]
+                codes = np.concatenate([np.zeros(3 - min(at, 3), np.uint8), codes]).astype(np.int32)
+                index = ((codes[:-3] * CODES + codes[1:-2]) * CODES + codes[2:-1]) * CODES + codes[3:]
+                out[k] += model.bits.take(index, axis=0).sum(0, dtype=np.float64)
+            continue
+        if few and size + len(text) > BLOCK:
+            together(few)
+            few, size = [], 0
+        few.append(k)
+        size += len(text)
+    if few:
+        together(few)
     return out
 
 
@@ -161,7 +195,8 @@ def predict(texts: list[bytes | None], model: Model) -> tuple[list[str], np.ndar
 
 
 def identify(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """docs with lang_pred and lang_score appended; all columns pass through."""
+    """docs with lang_pred and lang_score appended."""
+    docs = without(docs, "lang_pred", "lang_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, lang_score double"])
     names = [*docs.columns, "lang_pred", "lang_score"]

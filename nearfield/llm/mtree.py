@@ -10,11 +10,13 @@ covers all below it. The pages are rows of a table, one row for each tree.
 
 A search keeps a queue of nodes by lower bound. Before a distance to an entry is computed, |d(q, router) - d(entry,
 router)| minus the radius bounds it from below; entries that cannot reach the k-th best are skipped. Bounds carry
-a small slack for rounding, and the integer products decide, so results are exact. Queries come in blocks of a
+a small slack for rounding, and integer products decide, so results are exact; a product beyond 64 bits is an error. Queries come in blocks of a
 bounded size that go to all trees; the trees' lists are merged by a ranked window that keeps k rows of each task.
 
-Edge cases: vectors that are null, hold null or non-finite components or another dimension than the first valid
-row take no part, as query or candidate; fewer candidates than k give fewer rows; an empty table gives none.
+Edge cases: vectors that are null, empty or hold null or non-finite components take no part, as query or candidate; a
+query is compared with the vectors of its own dimension; a query's own id is no candidate, also where it repeats; equal
+scores go to the smaller id; fewer candidates than k give fewer rows; an empty table gives none; only the two named
+columns are read.
 """
 
 from __future__ import annotations
@@ -186,11 +188,17 @@ class Searcher:
         self.radius, self.to_parent = read("radius", np.float64), read("to_parent", np.float64)
         self.order, self.dist = read("entry_order", np.int64), read("entry_dist", np.float64)
         self.lift, self.computed = row["lift"], 0
+        self.largest = int(np.abs(self.vectors).max(initial=0))
 
     def _gap(self, rows: np.ndarray, query: np.ndarray, square: float) -> np.ndarray:
         self.computed += len(rows)
-        products = self.points[rows, :-1] @ query
-        return np.sqrt(np.maximum(square + self.lift - 2 * products, 0.0)), products
+        return np.sqrt(np.maximum(square + self.lift - 2 * (self.points[rows, :-1] @ query), 0.0))
+
+    def _products(self, rows: np.ndarray, query: np.ndarray) -> list[int]:
+        """Exact inner products: in 64 bits where no sum can leave them, else in numbers of any length."""
+        most = self.largest * int(np.abs(query).max(initial=0)) * len(query)
+        kind = np.int64 if most < 1 << 63 else object
+        return (self.vectors[rows].astype(kind) @ query.astype(kind)).tolist()
 
     def top(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
         """(score, vec_id) of the k best entries of this tree, without the query's own id, best first."""
@@ -199,7 +207,7 @@ class Searcher:
         slack = SLACK * (1 + math.sqrt(square + self.lift))
         best: list[tuple[int, int]] = []  # heap of (score, -id), the worst first
         limit = math.inf  # no entry farther than this can enter
-        at, _ = self._gap(self.router[:1], q, square)
+        at = self._gap(self.router[:1], q, square)
         queue = [(max(0.0, float(at[0]) - self.radius[0]), 0, float(at[0]))]
         while queue:
             bound, node, to_router = heapq.heappop(queue)
@@ -211,7 +219,7 @@ class Searcher:
                 near = np.abs(to_router - self.to_parent[lo:hi]) - self.radius[lo:hi]
                 children = children[near <= limit + slack]
                 if len(children):
-                    gaps, _ = self._gap(self.router[children], q, square)
+                    gaps = self._gap(self.router[children], q, square)
                     bounds = np.maximum(gaps - self.radius[children], 0.0)
                     for b, c, g in zip(bounds.tolist(), children.tolist(), gaps.tolist(), strict=True):
                         if b <= limit + slack:
@@ -220,11 +228,10 @@ class Searcher:
             entries = self.order[lo:hi][np.abs(to_router - self.dist[lo:hi]) <= limit + slack]
             if not len(entries):
                 continue
-            _, products = self._gap(entries, q, square)
-            if len(best) == k:
-                entries, products = entries[products >= best[0][0]], products[products >= best[0][0]]
-            for entry, product in zip(entries.tolist(), products.tolist(), strict=True):
-                score = int(round(product))
+            self.computed += len(entries)
+            for entry, score in zip(entries.tolist(), self._products(entries, query), strict=True):
+                if len(best) == k and score < best[0][0]:
+                    continue
                 for vec_id in self.ids[(self.id_ends[entry - 1] if entry else 0) : self.id_ends[entry]].tolist():
                     if vec_id == query_id:
                         continue

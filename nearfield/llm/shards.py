@@ -5,10 +5,13 @@ own. Rows of one old shard and one size class (a power of two) are a block. A fl
 blocks to shards: staying costs nothing, moving costs the block's mean bytes, so that the rows that must leave an
 overfull shard are its smallest. Only block totals reach the driver; their number is bounded by old shards times 64.
 
+Within a block all rows cost its mean, so the bytes moved are the fewest to within a factor of two for each row.
+
 A row's number in its block, gapless over all tasks, tells into which part of the block's flow it falls, and with
 that its new shard and its slot there. `rewrite` then writes only the shards that gain or lose a row.
 
-Edge cases: null text has size `OVERHEAD` and checksum 0; equal rows are told apart by their place; an empty table
+Edge cases: null text has size `OVERHEAD` and checksum 0, a text of any length is one row; rows are told apart by their
+place, so ids may repeat or be null; columns called shard or slot are replaced, all others pass through; an empty table
 gives no row; rows with equal text start in one old shard and mostly stay together, but no group is kept whole
 against the capacities.
 """
@@ -21,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import binary_text, lean, materialise, numbered
+from nearfield.llm.common import binary_text, free_name, lean, materialise, numbered, remove, without
 
 OVERHEAD = 16
 OLD_SHARDS = 32
@@ -113,24 +116,28 @@ def transfers(blocks: dict[int, tuple[int, int, int]], shards: int) -> dict[int,
 
 
 def measured(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """doc_id, size and checksum of the text, the old shard (by the text's hash) and the block."""
+    """doc_id, size, checksum and hash of the text, the old shard (by the text's hash) and the block."""
     text = binary_text(text_column)
     size = (F.octet_length(text) + OVERHEAD).cast("long")
     old = F.pmod(F.xxhash64(text), F.lit(OLD_SHARDS)).cast("int")
     return docs.select(
-        F.col("doc_id").cast("long"), size.alias("size"), F.crc32(text).alias("text_crc32"), old.alias("old_shard")
+        F.col("doc_id").cast("long"),
+        size.alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.xxhash64(text).alias("text_hash"),
+        old.alias("old_shard"),
     ).withColumn("block", F.col("old_shard") * 64 + F.floor(F.log2("size")).cast("int"))
 
 
 def reshard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """rows (with block, old_shard and size) with shard and slot appended."""
-    schema = ", ".join(
-        [*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "task_id int, slot_in_task long"]
-    )
-    names, where = [*rows.columns, "task_id", "slot_in_task"], rows.columns.index("block")
+    rows = without(rows, "shard", "slot")
+    task, counted, position = (free_name(rows, n) for n in ("task_id", "slot_in_task", "position"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"{task} int, {counted} long"])
+    names, where = [*rows.columns, task, counted], rows.columns.index("block")
 
     def number(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, task = np.zeros(64 * (OLD_SHARDS + 1), np.int64), TaskContext.get().partitionId()
+        seen, number_ = np.zeros(64 * (OLD_SHARDS + 1), np.int64), TaskContext.get().partitionId()
         for batch in parts:
             block = batch.column(where).to_numpy(zero_copy_only=False)
             order = np.argsort(block, kind="stable")
@@ -139,7 +146,7 @@ def reshard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
             slot = np.empty(len(block), np.int64)
             slot[order] = seen[ordered] + np.arange(len(block)) - starts
             seen += np.bincount(block, minlength=len(seen))
-            task_id = pa.array(np.full(len(block), task, np.int32))
+            task_id = pa.array(np.full(len(block), number_, np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns, task_id, pa.array(slot)], names=names)
 
     fixed = materialise(rows.mapInArrow(lean(number), schema))
@@ -160,13 +167,13 @@ def reshard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             block = batch.column("block").to_numpy(zero_copy_only=False)
-            position = batch.column("position").to_numpy(zero_copy_only=False)
+            position_ = batch.column(position).to_numpy(zero_copy_only=False)
             shard, slot = np.empty(len(block), np.int32), np.empty(len(block), np.int64)
             for b in np.unique(block):
                 at = np.flatnonzero(block == b)
                 start, to, shift = shared.value[b]
-                part = np.searchsorted(start, position[at], side="right") - 1
-                shard[at], slot[at] = to[part], position[at] + shift[part]
+                part = np.searchsorted(start, position_[at], side="right") - 1
+                shard[at], slot[at] = to[part], position_[at] + shift[part]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in rows_names), pa.array(shard), pa.array(slot)],
                 names=[*rows_names, "shard", "slot"],
@@ -174,15 +181,32 @@ def reshard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     rows_names = rows.columns
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "shard int, slot long"])
-    return numbered(fixed, "block").select(*rows_names, "position").mapInArrow(lean(place), out)
+    placed = numbered(fixed, "block", counted, task, position)
+    return placed.select(*(F.col(f"`{n}`") for n in rows_names), position).mapInArrow(lean(place), out)
+
 
+def rewrite(docs: DataFrame, placed: DataFrame, path: str, text_column: str = "text") -> list[int]:
+    """Writes the affected shards, those that gain or lose a row, under path as shard=N, each once also if it runs again;
+    returns their numbers. placed comes from `reshard(measured(docs))`.
 
-def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
-    """Writes the affected shards, those that gain or lose a row, under path as shard=N; returns their numbers."""
+    Rows of one id and text are alike, so the k-th of them in docs takes the k-th place. A shard that loses all its rows
+    loses its folder.
+    """
     moved = placed.filter("shard <> old_shard")
     touched = moved.select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct()
     affected = sorted(r.s for r in touched.collect())
-    rows = placed.filter(F.col("shard").isin(affected)).select("doc_id", "shard", "slot")
-    joined = docs.join(rows, "doc_id").repartition("shard").sortWithinPartitions("shard", "slot")
-    joined.write.mode("append").partitionBy("shard").parquet(path)
+    docs = without(docs, "shard", "slot")
+    h, k, i = (free_name(docs, n) for n in ("h", "k", "i"))
+    alike = Window.partitionBy(i, h)
+    mine = docs.withColumn(i, F.col("doc_id").cast("long")).withColumn(h, F.xxhash64(binary_text(text_column)))
+    mine = mine.withColumn(k, F.row_number().over(alike.orderBy(F.lit(0))))
+    rows = placed.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), "shard", "slot")
+    rows = rows.withColumn(k, F.row_number().over(alike.orderBy("shard", "slot"))).filter(F.col("shard").isin(affected)).alias("p")
+    same = mine[i].eqNullSafe(F.col(f"p.{i}")) & (mine[h] == F.col(f"p.{h}")) & (mine[k] == F.col(f"p.{k}"))
+    joined = mine.join(rows, same).select(*(mine[c] for c in docs.columns), "p.shard", "p.slot")
+    joined = joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    joined.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    left = {r.shard for r in placed.select("shard").distinct().collect()}
+    for shard in set(affected) - left:
+        remove(docs.sparkSession, f"{path}/shard={shard}")
     return affected

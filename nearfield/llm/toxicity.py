@@ -5,14 +5,16 @@ signs between letters become the letters they stand for, and words are joined by
 beginnings (a space and a prefix), so that one automaton finds whole words and their inflections.
 
 Weights are log-odds over a bounded sample of labelled rows (`SAMPLE_DOCS` for each label, the smallest hashes of
-their ids, texts up to `SAMPLE_BYTES`, equal texts of a label counted once); an entry needs `EVIDENCE` nats of likelihood ratio, so that chance words of
+their ids, whole texts, equal texts of a label counted once); an entry needs `EVIDENCE` nats of likelihood ratio, so that chance words of
 few documents stay out, and `COVERS` nats over the documents that no stronger entry explains, so that the ordinary
 words of copied toxic documents stay out too. Exception phrases are an entry with its neighbour word that clean documents hold and toxic
 ones do not, by the same test; a hit inside one does not count. The strength of a text is the sum of its hits'
 weights over 1 + log2(1 + words / 1000), and a logistic curve fitted on the sample turns it into the score.
 
-Edge cases: null and empty texts have no hit and get the score of strength 0, below one half; conflicting labels of
-one id are all used; with no labelled toxic row nothing is in the lexicon and all scores are 0.
+Edge cases: null and empty texts have no hit and get the score of strength 0, below one half; texts of any length are
+read whole; repeated rows are scored each for itself; conflicting labels of one id are all used; of equal evidence the
+entry that sorts first is taken first; with no labelled toxic row, or no rows at all, nothing is in the lexicon and all
+scores are 0; an empty table gives no row. Columns other than doc_id, text and toxic are not read.
 """
 
 from __future__ import annotations
@@ -30,10 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import batches, binary_text, lean
+from nearfield.llm.common import batches, binary_text, lean, without
 
 SAMPLE_DOCS = 4000
-SAMPLE_BYTES = 1 << 16
 EVIDENCE = 10.0
 COVERS = 6.0
 #: Log-odds that an entry has at least.
@@ -116,9 +117,15 @@ def hits(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, fl
             excused.append((start, last + 1))
         elif start not in best or length > best[start][0]:
             best[start] = (length, weight)
-    return [
-        (s, s + n, w) for s, (n, w) in sorted(best.items()) if not any(a <= s and s + n <= b for a, b in excused)
-    ]
+    excused.sort()
+    out, at, reach = [], 0, 0  # reach: how far the exceptions go that have begun
+    for s, (n, w) in sorted(best.items()):
+        while at < len(excused) and excused[at][0] <= s:
+            reach = max(reach, excused[at][1])
+            at += 1
+        if s + n > reach:
+            out.append((s, s + n, w))
+    return out
 
 
 def strength(text: str, automaton: ahocorasick.Automaton | None) -> float:
@@ -133,7 +140,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = labels.filter(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     ids = known.distinct().withColumn("n_", F.row_number().over(first)).filter(F.col("n_") <= SAMPLE_DOCS).drop("n_")
-    texts = docs.select("doc_id", binary_text().alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
+    texts = docs.select("doc_id", binary_text().alias("text"))
     return texts.join(F.broadcast(ids), "doc_id").select("text", "toxic").distinct()
 
 
@@ -302,7 +309,8 @@ def scores(texts: list[bytes | None], model: Model, automaton: ahocorasick.Autom
 
 
 def annotate(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """docs with toxic_score appended; all columns pass through."""
+    """docs with toxic_score appended, in place of a column so called; all others pass through."""
+    docs = without(docs, "toxic_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "toxic_score double"])
     names = [*docs.columns, "toxic_score"]

@@ -275,6 +275,57 @@ def test_resharding(docs, none, texts, tmp_path):
     assert shards.reshard(shards.measured(none), 7).count() == 0
 
 
+def test_rewrite_places_each_row_once(spark, tmp_path):
+    """Repeated ids, equal rows, null ids, clashing columns, and a second run over the first."""
+    rows = [(k % 20, f"text {k % 20} {k // 40}", k) for k in range(80)] + [(None, None, 90), (None, "n", 91)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Shard int").repartition(3)
+    placed = common.materialise(shards.reshard(shards.measured(docs).withColumn("task_id", F.lit(1)).withColumn("slot", F.lit(2)), 5))
+    affected = shards.rewrite(docs, placed, str(tmp_path / "s"))
+    assert shards.rewrite(docs, placed, str(tmp_path / "s")) == affected
+    got = spark.read.parquet(str(tmp_path / "s"))
+    pairs = lambda df: sorted((str(r.doc_id), r.shard, r.slot) for r in df.collect())
+    assert pairs(got) == pairs(placed.filter(F.col("shard").isin(affected))) and got.columns.count("text") == 1
+    assert placed.count() == len(rows) and placed.columns.count("slot") == 1
+
+
+def test_appended_columns_replace_those_of_their_name(spark):
+    df = spark.createDataFrame([(1, "x", 5, 6, 7)], "doc_id long, text string, Toxic_Score int, lang_pred int, lang_score int")
+    model = toxicity.Model({" x": 2.0}, [], 1.0, -0.1)
+    assert toxicity.annotate(df, model).columns == ["doc_id", "text", "lang_pred", "lang_score", "toxic_score"]
+    own = langid.Model(["en"], langid.byte_classes(np.zeros(256)), np.ones((langid.CODES**4, 1), np.float32))
+    found = langid.identify(df, own)
+    assert found.columns == ["doc_id", "text", "Toxic_Score", "lang_pred", "lang_score"] and found.first().lang_pred == "en"
+    assert toxicity.annotate(df, model).first().toxic_score > 0
+
+
+def test_hits_inside_exceptions_match_brute_force():
+    rng = random.Random(2)
+    for _ in range(50):
+        text = " " + " ".join(rng.choices("ab abc b c cab".split(), k=60)) + " "
+        model = toxicity.Model({" ab": 1.0, " c": 2.0, " b ": 3.0}, rng.sample([" ab c ", " c ab ", " b b ", " cab ab", " abc "], 3))
+        automaton = model.automaton()
+        spans = [(i, i + len(e)) for e in model.exceptions for i in range(len(text)) if text.startswith(e, i)]
+        best = {}
+        for e, w in model.weights.items():
+            for i in range(len(text)):
+                if text.startswith(e, i) and (i not in best or len(e) > best[i][0]):
+                    best[i] = (len(e), w)
+        want = [(i, i + n, w) for i, (n, w) in sorted(best.items()) if not any(a <= i and i + n <= b for a, b in spans)]
+        assert toxicity.hits(text, automaton) == want
+
+
+def test_products_beyond_doubles_are_exact():
+    rng = np.random.default_rng(3)
+    x = rng.integers(1 << 24, 1 << 25, (300, 64))
+    tree = mtree.Searcher(pa_rows(x))
+    for q in (0, 7):
+        scores = [sum(int(a) * int(b) for a, b in zip(v, x[q], strict=True)) for v in x]
+        want = sorted(((s, i) for i, s in enumerate(scores) if i != q), key=lambda z: (-z[0], z[1]))[:10]
+        assert tree.top(q, x[q], 10) == want
+    wide = rng.integers(1 << 40, 1 << 41, (20, 8))
+    assert mtree.Searcher(pa_rows(wide)).top(-1, wide[0], 1)[0][0] == max(sum(int(a) * int(b) for a, b in zip(v, wide[0], strict=True)) for v in wide)
+
+
 def test_packing_round_trip(spark, docs, none, texts):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -444,6 +495,9 @@ def test_code_lengths_sum_symbol_by_symbol():
     model = langid.Model(["x"], code, -np.log2(p).reshape(-1, 1))
     want = [sum(-np.log2(p.ravel()[i]) for i in langid.coded([t], code)[0]) for t in (b"abra", b"zz", b"cad abra")]
     assert np.allclose(langid.code_lengths([b"abra", b"zz", b"cad abra"], model)[:, 0], want)
+    long = b"abra cadabra " * 50_000  # over several blocks
+    got = langid.code_lengths([b"zz", long, b"abra"], model)[:, 0]
+    assert np.allclose(got, [want[1], -np.log2(p.ravel()[langid.coded([long], code)[0]]).sum(), want[0]])
 
 
 def test_toxicity_learns_and_folds(spark):
