@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What 1 is for a unit vector of each element type (fixed values: the largest integer of the type, 1 for floats).
@@ -49,8 +49,14 @@ def normalized(x: Column | str, base: int = 1) -> Column:
     """Unit length times base; a vector without direction becomes the constant base / sqrt(d)."""
     x = F.col(x) if isinstance(x, str) else x
     constant = F.array_repeat(F.lit(float(base)) / F.sqrt(F.size(x)), F.size(x))
-    length = norm(x)
-    return F.when(length < TINY_NORM, constant).otherwise(F.transform(x, lambda v: _double(v) / length * base))
+    # the length is bound to a variable, so that it is computed once and not for each component
+    by = lambda n: F.when(n < TINY_NORM, constant).otherwise(F.transform(x, lambda v: _double(v) / n * base))
+    return F.element_at(F.transform(F.array(norm(x)), by), 1)
+
+
+def seeded(seed: int | str, *columns: str) -> Column:
+    """A hash for seeded orders that other engines have too."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
 
 
 def similarity_of(distance: Column | str, base: int = 1) -> Column:
@@ -91,6 +97,15 @@ def jaccard(x: Column | str, y: Column | str) -> Column:
     return 1.0 - F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
 
 
+def offsets(rows: DataFrame, key: str, text: str, delimiter: str = "\n") -> DataFrame:
+    """key, line, offset, length (bytes) of the parts of a text between delimiters."""
+    parts = F.transform(F.split(text, f"\\Q{delimiter}\\E", -1), F.octet_length)
+    before = lambda i: F.aggregate(F.slice("parts_", 1, i), F.lit(0).cast("long"), lambda s, n: s + n + len(delimiter.encode()))
+    split = rows.select(key, parts.alias("parts_")).filter("parts_ IS NOT NULL")
+    found = split.select(key, "parts_", F.posexplode("parts_").alias("line", "length"))
+    return found.select(key, F.col("line").cast("long").alias("line"), before(F.col("line")).alias("offset"), F.col("length").cast("long").alias("length"))
+
+
 def checksum(data: Column | str) -> Column:
     """XOR of the bytes of a binary column."""
     data = F.col(data) if isinstance(data, str) else data

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import vectors as V
 
+from nearfield.operators import lineage
 from nearfield.operators.kernels import collected_centers, matrix, nearest_centers
 
 Centers = tuple[np.ndarray, np.ndarray]
@@ -64,7 +65,7 @@ class KMeans:
 
 def initial_centers(vectors: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """k rows by the smallest seeded hash of their id: the same for any partitioning."""
-    first = vectors.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(k)
+    first = vectors.orderBy(V.seeded(seed, "vec_id"), "vec_id").limit(k)
     return first.select(F.col("vec_id").alias("center_id"), F.col("embedding").alias("center"))
 
 
@@ -133,7 +134,7 @@ def hierarchical(vectors: DataFrame, branches: int = 8, leaf: int = 64, depth: i
         open_ = sizes.filter(F.col("count") > leaf).select("path")
         if open_.isEmpty():
             break
-        first = Window.partitionBy("path").orderBy(F.xxhash64(F.lit(level), "vec_id"), "vec_id")
+        first = Window.partitionBy("path").orderBy(V.seeded(level, "vec_id"), "vec_id")
         seeds = (
             rows.join(open_, "path")
             .withColumn("b", F.row_number().over(first))
@@ -145,7 +146,7 @@ def hierarchical(vectors: DataFrame, branches: int = 8, leaf: int = 64, depth: i
         step = F.when(F.col("seeds").isNull(), "").otherwise(F.concat(F.lit("/"), best["b"].cast("string")))
         # a node of equal rows does not split; its path stays and ends at the depth limit
         rows = rows.join(seeds, "path", "left").select("vec_id", "embedding", F.concat("path", step).alias("path"))
-        rows = rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows
+        rows = lineage.cut(rows)
     return rows.select("vec_id", "path")
 
 
@@ -155,12 +156,10 @@ def diversified(vectors: DataFrame, centers: Centers, replicas: int = 8, candida
     A centre is rejected if factor * d(kept, c) < d(row, c); with strict also if they are equal (the update path).
     Gives vec_id, center_id, dist, rnk (order of choice); at least the nearest centre stays. No shuffle.
     """
-    ids, c = centers
-    between = np.stack([((c - row) ** 2).sum(1) for row in c]) if len(c) else np.zeros((0, 0))
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, c, between))
+    shared = vectors.sparkSession.sparkContext.broadcast(centers)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, c, between = shared.value
+        ids, c = shared.value
         for batch in parts:
             x_ids, x = batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1))
             out: list[tuple] = []
@@ -168,7 +167,7 @@ def diversified(vectors: DataFrame, centers: Centers, replicas: int = 8, candida
                 dist = ((c - x[row]) ** 2).sum(1)
                 kept: list[int] = []
                 for j in np.lexsort((ids, dist))[:candidates].tolist():
-                    gaps = factor * between[j, kept]
+                    gaps = factor * ((c[kept] - c[j]) ** 2).sum(1)
                     if not ((gaps <= dist[j]) if strict else (gaps < dist[j])).any():
                         kept.append(j)
                         out.append((int(x_ids[row]), int(ids[j]), float(dist[j]), len(kept)))
@@ -242,6 +241,20 @@ def ivf_search(
     )
 
 
+def ivf_sweep(vectors: DataFrame, postings: DataFrame, queries: DataFrame, centers: Centers, k: int, nprobes: tuple[int, ...], metric: str = "l2") -> DataFrame:
+    """Results of `ivf_search` for several budgets (nprobe, query_id, rnk, vec_id, dist) from one pass: each row is scored once and
+    belongs to every budget that reads its nearest list.
+    """
+    lists = probe(queries, centers, max(nprobes))
+    first = lists.join(postings.select("center_id", "vec_id"), "center_id").groupBy("query_id", "vec_id").agg(F.min("prnk").alias("prnk"))
+    scored = first.join(queries, "query_id").join(vectors.select("vec_id", "embedding"), "vec_id")
+    scored = scored.select("query_id", "vec_id", "prnk", V.METRICS[metric](F.col("embedding"), F.col("query")).alias("dist"))
+    each = scored.withColumn("nprobe", F.explode(F.array(*[F.lit(n) for n in nprobes]))).filter("prnk <= nprobe")
+    order = Window.partitionBy("nprobe", "query_id").orderBy("dist", "vec_id")
+    ranked = each.withColumn("rnk", F.row_number().over(order).cast("long")).filter(F.col("rnk") <= k)
+    return ranked.select("nprobe", "query_id", "rnk", "vec_id", "dist")
+
+
 def residuals(vectors: DataFrame, assigned: DataFrame, centers: DataFrame) -> DataFrame:
     """vec_id, center_id, residual: the row minus its centre."""
     joined = assigned.select("vec_id", "center_id").join(vectors.select("vec_id", "embedding"), "vec_id")
@@ -260,6 +273,8 @@ def capacity_assign(vectors: DataFrame, centers: Centers, limit: int) -> DataFra
 
     Round r offers rows that have no place their r-th choice; a centre takes its nearest up to what is left.
     """
+    if vectors.filter(F.col("embedding").isNotNull()).count() > limit * len(centers[0]):
+        raise ValueError(f"{len(centers[0])} centres of {limit} rows are too few for these rows")
     choices = nearest_centers(vectors, centers, len(centers[0])).persist()
     placed = choices.limit(0).select("vec_id", "center_id", "dist")
     for r in range(1, len(centers[0]) + 1):
@@ -272,9 +287,8 @@ def capacity_assign(vectors: DataFrame, centers: Centers, limit: int) -> DataFra
             .filter(F.col("n") <= F.lit(limit) - F.coalesce("count", F.lit(0)))
             .select("vec_id", "center_id", "dist")
         )
-        placed = placed.unionByName(taken)
-        if placed.sparkSession.sparkContext.getCheckpointDir():
-            placed = placed.checkpoint()
+        placed = lineage.cut(placed.unionByName(taken))
+    choices.unpersist()
     return placed
 
 

@@ -5,13 +5,13 @@ Tables are immutable; every change is a new DataFrame, and deletes are tombstone
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions import vectors as V
+from nearfield.operators import lineage
 from nearfield.operators.clustering import Centers, assign
+from nearfield.operators.kernels import collected_centers, nearest_centers
 from nearfield.operators.search import within
 
 #: A table is compacted when more than this share of its rows is deleted.
@@ -57,11 +57,28 @@ def needs_compaction(total: int, dead: int) -> bool:
     return total > 0 and dead / total > COMPACT_SHARE
 
 
+#: Ids, or leading digits of a hash, that are numbered in one task.
+BLOCK = 1 << 16
+
+
+def numbered_by(rows: DataFrame, column: str) -> DataFrame:
+    """rows with `place`, from 0 in the order of a column of distinct ids or hex hashes. Blocks of values are numbered
+    apart and begin where the counts of those before end; only the counts are in one window.
+    """
+    text = dict(rows.dtypes)[column] == "string"
+    block = F.substring(column, 1, 4) if text else F.floor(F.col(column) / BLOCK)
+    marked = rows.withColumn("block_", block)
+    counts = marked.groupBy("block_").agg(F.count("*").alias("n_"))
+    before = Window.orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("block_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_"))
+    own = F.row_number().over(Window.partitionBy("block_").orderBy(column)) - 1
+    return marked.withColumn("own_", own).join(starts, "block_").withColumn("place", F.col("start_") + F.col("own_")).drop("block_", "own_", "start_")
+
+
 def compaction(vectors: DataFrame, tombstones: DataFrame) -> DataFrame:
     """old_id, new_id of the live rows: holes below the live count are filled from the tail, the last row first.
 
-    Ids are positions from 0. Only tombstones and the rows of the tail move; both are numbered by windows over the
-    deleted share of the table.
+    Ids are positions from 0. Only tombstones and the rows of the tail move; both are numbered by blocks of ids.
     """
     dead = tombstones.select("vec_id").distinct()
     total = vectors.agg(F.count("*").alias("n"), F.coalesce(F.max("vec_id"), F.lit(-1)).alias("m")).first()
@@ -69,10 +86,8 @@ def compaction(vectors: DataFrame, tombstones: DataFrame) -> DataFrame:
     n = alive.count()
     holes = dead.filter(F.col("vec_id") < n)
     tail = alive.filter(F.col("vec_id") >= n)
-    hole_order, tail_order = Window.orderBy("vec_id"), Window.orderBy(F.desc("vec_id"))
-    fill = holes.withColumn("n_", F.row_number().over(hole_order)).join(
-        tail.select(F.col("vec_id").alias("old_id"), F.row_number().over(tail_order).alias("n_")), "n_"
-    )
+    tail = tail.select(F.col("vec_id").alias("old_id"), (-F.col("vec_id")).alias("back"))
+    fill = numbered_by(holes, "vec_id").join(numbered_by(tail, "back").drop("back"), "place")
     assert total.m < total.n, "compaction takes ids that are positions from 0"
     stay = alive.filter(F.col("vec_id") < n).select(F.col("vec_id").alias("old_id"), F.col("vec_id").alias("new_id"))
     return stay.unionByName(fill.select("old_id", F.col("vec_id").alias("new_id")))
@@ -114,24 +129,46 @@ def split(postings: DataFrame, vectors: DataFrame, limit: int, first_new_id: int
             F.max(F.when(~F.col("right"), F.col("c"))).alias("n1"), F.max(F.when(F.col("right"), F.col("c"))).alias("n2")
         )
         two = two.join(fresh_two, "center_id").select("center_id", F.coalesce("n1", "c1").alias("c1"), F.coalesce("n2", "c2").alias("c2"))
-    number = large.withColumn("new_", F.row_number().over(Window.orderBy("center_id")) + F.lit(first_new_id - 1))
+    number = numbered_by(large, "center_id").select("center_id", (F.col("place") + F.lit(first_new_id)).alias("new_"))
     right = V.l2("embedding", "c2") < V.l2("embedding", "c1")
     halves = rows.join(two, "center_id").join(number, "center_id").select("vec_id", F.when(right, F.col("new_")).otherwise(F.col("center_id")).cast("long").alias("center_id"))
     return postings.join(large, "center_id", "left_anti").select("vec_id", "center_id").unionByName(halves)
 
 
+#: Nearest longer lists that a short one may move into.
+CHOICES = 64
+
+
 def merge_targets(postings: DataFrame, centers: DataFrame, threshold: int, limit: int) -> DataFrame:
-    """center_id, into: short lists and the nearest other list with which they stay under the limit.
+    """center_id, into: short lists and a list that is not short with which they stay under the limit.
 
-    Short lists go one by one in order of id by their first choice; a target is never itself short.
+    Rounds of offers: each short list without a place asks its nearest choice that still has room for it, and a target
+    takes its nearest askers while they fit together; the others ask again. Ends when nobody can ask.
     """
+    spark = postings.sparkSession
     sizes = postings.groupBy("center_id").count()
-    short = undersize(postings, threshold)
-    joined = sizes.join(short.select("center_id"), "center_id", "left_anti").join(centers, "center_id")
-    a = short.join(centers, "center_id").select(F.col("center_id").alias("s"), F.col("center").alias("x"), F.col("count").alias("m"))
-    b = joined.select(F.col("center_id").alias("into"), F.col("center").alias("y"), F.col("count").alias("n"))
-    pairs = a.join(F.broadcast(b), F.col("m") + F.col("n") <= limit).select("s", "into", V.l2("x", "y").alias("dist"))
-    return pairs.groupBy(F.col("s").alias("center_id")).agg(F.min_by("into", F.struct("dist", "into")).alias("into"))
+    short, large = sizes.filter(F.col("count") <= threshold), sizes.filter(F.col("count") > threshold)
+    targets = collected_centers(large.join(centers, "center_id"))
+    asking = short.join(centers, "center_id").select(F.col("center_id").alias("vec_id"), F.col("center").alias("embedding"))
+    if not len(targets[0]):
+        return spark.createDataFrame([], "center_id long, into long")
+    near = nearest_centers(asking, targets, CHOICES).select(F.col("vec_id").alias("center_id"), F.col("center_id").alias("into"), "dist")
+    offers = near.join(short.withColumnRenamed("count", "m"), "center_id")
+    offers = offers.join(large.select(F.col("center_id").alias("into"), (F.lit(limit) - F.col("count")).alias("room")), "into")
+    offers = lineage.cut(offers)
+    placed = offers.limit(0).select("center_id", "into", "m")
+    while True:
+        used = placed.groupBy("into").agg(F.sum("m").alias("used"))
+        fits = offers.join(placed.select("center_id"), "center_id", "left_anti").join(used, "into", "left")
+        fits = fits.withColumn("free", F.col("room") - F.coalesce("used", F.lit(0))).filter("m <= free")
+        best = fits.groupBy("center_id").agg(F.min_by(F.struct("into", "dist", "m", "free"), F.struct("dist", "into")).alias("o"))
+        best = best.select("center_id", "o.into", "o.dist", "o.m", "o.free")
+        upto = Window.partitionBy("into").orderBy("dist", "center_id").rowsBetween(Window.unboundedPreceding, 0)
+        taken = best.withColumn("sum_", F.sum("m").over(upto)).filter("sum_ <= free").select("center_id", "into", "m")
+        taken = lineage.cut(taken)
+        if taken.isEmpty():
+            return placed.select("center_id", "into")
+        placed = placed.unionByName(taken)
 
 
 def merge_small(postings: DataFrame, centers: DataFrame, threshold: int, limit: int) -> DataFrame:
@@ -156,7 +193,7 @@ def reassigned(postings: DataFrame, vectors: DataFrame, centers: Centers) -> Dat
 def trace(current: DataFrame, reserve: DataFrame, size: int, seed: int = 0) -> DataFrame:
     """op, vec_id of one batch: `size` seeded deletes from the current rows and as many inserts from the reserve."""
     def pick(df: DataFrame, op: str) -> DataFrame:
-        return df.orderBy(F.xxhash64(F.lit(seed), F.lit(op), "vec_id"), "vec_id").limit(size).select(F.lit(op).alias("op"), "vec_id")
+        return df.orderBy(V.seeded(f"{seed}:{op}", "vec_id"), "vec_id").limit(size).select(F.lit(op).alias("op"), "vec_id")
 
     return pick(current, "delete").unionByName(pick(reserve, "insert"))
 

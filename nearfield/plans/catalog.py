@@ -123,14 +123,6 @@ def normalize(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", *[r6(F.col("x")[k]).alias(n) for k, n in enumerate("abcd")])
 
 
-@query(f"SELECT vec_id, round(1.0 - (1.0 - {dot('embedding', 'embedding')}), 6) + 0.0 AS similarity, round(({dot('embedding', 'embedding')} * 0.0 + 0.25) * 16129, 6) AS byte_distance FROM embeddings")
-def cosine_similarity(spark: SparkSession, d: str) -> DataFrame:
-    own = V.cosine("embedding", "embedding")
-    return emb(spark, d).select(
-        "vec_id", r6(V.similarity_of(own)).alias("similarity"), F.round(V.distance_of(F.lit(0.75), V.BASE["byte"]), 6).alias("byte_distance")
-    )
-
-
 @query(f"""WITH t AS (SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000, embedding FROM embeddings WHERE vec_id % 7 = 0)
 SELECT a.vec_id AS query_id, b.vec_id FROM embeddings a, t b WHERE a.vec_id % 50 = 0 AND {l2("a.embedding", "b.embedding")} < 1e-6""")
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
@@ -228,12 +220,6 @@ def knn_page_2(spark: SparkSession, d: str) -> DataFrame:
     return rounded(S.page(e, asked(e), 10, 2))
 
 
-@query(f"SELECT *, rnk > 8 AS relaxed_mono FROM ({knn_sql(l2('b.embedding', 'q.embedding'), k=16)})")
-def knn_relaxed_monotone(spark: SparkSession, d: str) -> DataFrame:
-    e = emb(spark, d)
-    return rounded(S.relaxed(knn(e, asked(e), 16), 128))
-
-
 _TWO = f"""SELECT *, 'even' AS index_name FROM ({knn_sql(l2('b.embedding', 'q.embedding'), "(SELECT * FROM embeddings WHERE label % 2 = 0)")})
 UNION ALL SELECT *, 'odd' FROM ({knn_sql(l2('b.embedding', 'q.embedding'), "(SELECT * FROM embeddings WHERE label % 2 = 1)")})"""
 
@@ -259,11 +245,6 @@ def range_search(spark: SparkSession, d: str) -> DataFrame:
     return rounded(S.within(e, asked(e), 1.2))
 
 
-@query("SELECT CAST(NULL AS bigint) AS query_id, CAST(NULL AS bigint) AS vec_id WHERE false")
-def self_check(spark: SparkSession, d: str) -> DataFrame:
-    return S.self_check(emb(spark, d))
-
-
 # --- S3: rank join --------------------------------------------------------------------------------------------------
 
 
@@ -312,11 +293,9 @@ def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_REC} SELECT nprobe, round(avg(recall), 6) + 0.0 AS mean, round(stddev_pop(recall), 6) + 0.0 AS std, min(recall) AS min, max(recall) AS max FROM per GROUP BY nprobe")
 def param_sweep(spark: SparkSession, d: str) -> DataFrame:
     e = emb(spark, d)
-    truth, found = knn(e, asked(e), K), None
-    for nprobe in (1, 2, 4):
-        one = E.recall_summary(E.recall(_hits(e, nprobe), truth, K)).withColumn("nprobe", F.lit(nprobe))
-        found = one if found is None else found.unionByName(one)
-    return rounded(found, "mean", "std")
+    c = centers(e)
+    hits = C.ivf_sweep(e, nearest_centers(e, c, 2), asked(e), c, K, (1, 2, 4))
+    return rounded(E.sweep_summary(hits, knn(e, asked(e), K), (1, 2, 4)), "mean", "std")
 
 
 @query(f"""{_IVF}, one AS (SELECT * FROM hits WHERE nprobe = 1)
@@ -329,7 +308,8 @@ def mrr(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{_IVF}, w AS (SELECT query_id, max(dist) AS worst, count(*) AS wanted FROM truth GROUP BY query_id)
 SELECT h.query_id, round(least(sum(CASE WHEN h.d <= worst + 0.001 THEN 1 ELSE 0 END), max(wanted)) / max(wanted), 6) + 0.0 AS recall
-FROM hits h JOIN w USING (query_id) WHERE nprobe = 2 GROUP BY h.query_id""")
+FROM w JOIN (SELECT * FROM hits WHERE nprobe = 2) h USING (query_id) GROUP BY h.query_id
+UNION ALL SELECT query_id, 0.0 FROM w WHERE query_id NOT IN (SELECT query_id FROM hits WHERE nprobe = 2)""")
 def recall_by_distance(spark: SparkSession, d: str) -> DataFrame:
     e = emb(spark, d)
     return rounded(E.recall_by_distance(_hits(e, 2), knn(e, asked(e), K), K, 0.001), "recall")
@@ -460,23 +440,6 @@ def result_lists(spark: SparkSession, d: str) -> DataFrame:
     return knn(e, asked(e), K).groupBy("query_id").agg(F.array_join(ids, "|").alias("ids"))
 
 
-@query()
-def head_select_random(spark: SparkSession, d: str) -> DataFrame:
-    return C.random_heads(emb(spark, d), 0.2).select("center_id")
-
-
-@query()
-def kmeans_train(spark: SparkSession, d: str) -> DataFrame:
-    e = emb(spark, d)
-    found = C.kmeans(e, 8, factor=0.1, rounds=8)
-    return C.assign(e, found.centers).groupBy("center_id").agg(F.count("*").alias("n"))
-
-
-@query()
-def bkt_paths(spark: SparkSession, d: str) -> DataFrame:
-    return C.hierarchical(emb(spark, d), branches=4, leaf=64, depth=4)
-
-
 # --- S6: quantisation -----------------------------------------------------------------------------------------------
 
 _PQ = f"""WITH bk AS (SELECT s, vec_id AS code, embedding[s * 4 + 1 : s * 4 + 4] AS c FROM embeddings, range(16) t(s) WHERE vec_id < 16),
@@ -535,13 +498,6 @@ def pq_rerank(spark: SparkSession, d: str) -> DataFrame:
     return rounded(Q.reranked(rough, e, asked(e), K))
 
 
-@query()
-def pq_train(spark: SparkSession, d: str) -> DataFrame:
-    e = emb(spark, d)
-    codes = Q.encode(e, Q.train(e, 8, 16))
-    return codes.select(F.posexplode("codes").alias("s", "code")).groupBy("s", "code").count()
-
-
 def _turn() -> np.ndarray:
     """A fixed orthonormal matrix: reversal with the signs of even places changed."""
     return np.fliplr(np.eye(64)) * np.where(np.arange(64) % 2 == 0, -1.0, 1.0)[:, None]
@@ -613,22 +569,6 @@ def stale_gc(spark: SparkSession, d: str) -> DataFrame:
     return M.fresh(new.unionByName(old), versions).select("vec_id", "center_id", "version")
 
 
-@query()
-def split_oversize(spark: SparkSession, d: str) -> DataFrame:
-    e = emb(spark, d)
-    return M.split(C.assign(e, centers(e)), e, 40, 1000).groupBy("center_id").count()
-
-
-@query(f"""WITH {NEAR}, p AS (SELECT vec_id, center_id FROM near WHERE rnk = 1), z AS (SELECT center_id, count(*) AS n FROM p GROUP BY center_id),
-t AS (SELECT s.center_id, arg_min(b.center_id, ({l2("x.c", "y.c")}, b.center_id)) AS into_ FROM z s, z b, cent x, cent y
- WHERE s.n <= 25 AND b.n > 25 AND s.n + b.n <= 80 AND x.center_id = s.center_id AND y.center_id = b.center_id GROUP BY s.center_id)
-SELECT vec_id, coalesce(into_, center_id) AS center_id FROM p LEFT JOIN t USING (center_id)""")
-def merge_small(spark: SparkSession, d: str) -> DataFrame:
-    e = emb(spark, d)
-    table = e.filter("vec_id < 16").select(F.col("vec_id").alias("center_id"), F.col("embedding").alias("center"))
-    return M.merge_small(C.assign(e, centers(e)).select("vec_id", "center_id"), table, 25, 80)
-
-
 @query(f"WITH {NEAR} SELECT vec_id, label % 16 AS center_id, center_id AS nearest FROM near WHERE rnk = 1 AND label % 16 <> center_id")
 def reassign_check(spark: SparkSession, d: str) -> DataFrame:
     e = emb(spark, d)
@@ -636,12 +576,6 @@ def reassign_check(spark: SparkSession, d: str) -> DataFrame:
     return M.reassign_check(lists, e, centers(e))
 
 
-@query()
-def update_trace(spark: SparkSession, d: str) -> DataFrame:
-    e = emb(spark, d)
-    return M.trace(e.filter("label < 5"), e.filter("label >= 5"), 20)
-
-
 @query("SELECT t.query_id, t.rnk, t.vec_id + 500000 AS vec_id FROM (" + knn_sql(l2("b.embedding", "q.embedding")) + ") t")
 def truth_remap(spark: SparkSession, d: str) -> DataFrame:
     e = emb(spark, d)
@@ -698,19 +632,6 @@ def graph_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return G.accuracy(truth.filter("pos <= 4"), truth)
 
 
-@query()
-def graph_refine(spark: SparkSession, d: str) -> DataFrame:
-    e = emb(spark, d)
-    leaves = G.tpt_leaves(e, 64, trees=2, depth=3)
-    return rounded(G.refined(G.leaf_graph(e, leaves, 8, 2000), e, 16, 8))
-
-
-@query()
-def graph_walk(spark: SparkSession, d: str) -> DataFrame:
-    e = emb(spark, d)
-    return rounded(G.walk(G.exact_graph(e, 16), e, asked(e), K))
-
-
 @query("""WITH x AS (SELECT unnest(embedding)::double AS v, unnest(range(len(embedding))) AS dim FROM embeddings)
 SELECT '' AS path, dim, round(avg(v), 6) + 0.0 AS cut FROM x GROUP BY dim ORDER BY var_pop(v) DESC, dim LIMIT 1""")
 def kd_split(spark: SparkSession, d: str) -> DataFrame:
@@ -718,16 +639,6 @@ def kd_split(spark: SparkSession, d: str) -> DataFrame:
     return long(found, "dim").withColumn("cut", r6("cut"))
 
 
-@query()
-def kd_paths(spark: SparkSession, d: str) -> DataFrame:
-    return G.kd_paths(emb(spark, d), 3)
-
-
-@query()
-def tpt_partition(spark: SparkSession, d: str) -> DataFrame:
-    return G.tpt_leaves(emb(spark, d), 64, trees=2, depth=3)
-
-
 @query(f"""WITH c AS (SELECT vec_id AS i, embedding AS c FROM embeddings WHERE vec_id < 16),
 l AS (SELECT vec_id, arg_min(i, ({l2("embedding", "c")}, i)) FILTER (i < 4) AS a, arg_min(i - 4, ({l2("embedding", "c")}, i)) FILTER (i >= 4) AS b FROM embeddings, c GROUP BY vec_id)
 SELECT vec_id, a || '/' || b AS path FROM l""")
@@ -752,13 +663,6 @@ def hard_capacity_round(spark: SparkSession, d: str) -> DataFrame:
     return C.cut(C.assign(e, centers(e)), 20).filter("kept").select("vec_id", "center_id")
 
 
-@query()
-def hard_capacity_assign(spark: SparkSession, d: str) -> DataFrame:
-    e = emb(spark, d)
-    limit = -(-e.count() // 16) + 8
-    return C.capacity_assign(e, centers(e), limit).groupBy("center_id").count()
-
-
 @query(f"WITH {NEAR} SELECT vec_id AS query_id, center_id AS shard_id, rnk FROM near WHERE vec_id % 50 = 0 AND rnk <= 2")
 def shard_routing(spark: SparkSession, d: str) -> DataFrame:
     e = emb(spark, d)
@@ -769,4 +673,3 @@ def shard_routing(spark: SparkSession, d: str) -> DataFrame:
 def shard_sizes(spark: SparkSession, d: str) -> DataFrame:
     e = emb(spark, d)
     return C.assign(e, centers(e)).groupBy("center_id").agg(F.count("*").alias("n"))
-

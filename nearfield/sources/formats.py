@@ -255,3 +255,23 @@ def result_lines(hits: DataFrame, base: int = 1) -> DataFrame:
     pair = F.concat_ws("@", (F.col("dist") / float(base * base)).cast("string"), F.col("vec_id").cast("string"))
     items = F.transform(F.array_sort(F.collect_list(F.struct("rnk", pair.alias("p")))), lambda s: s["p"])
     return hits.groupBy("query_id").agg(F.array_join(items, "|").alias("line"))
+
+
+def npy(spark: SparkSession, path: str) -> DataFrame:
+    """vec_id (the row's place in its file) and embedding of two-dimensional .npy files; a file is read by one task."""
+    import io
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for content in batch.column(0):
+                rows = np.load(io.BytesIO(content.as_py()), allow_pickle=False)
+                if rows.ndim != 2:
+                    raise ValueError(f"an array of {rows.ndim} dimensions holds no vectors")
+                for at in range(0, len(rows), 4096):
+                    some = rows[at : at + 4096].astype(np.float32)
+                    ends = pa.array(np.arange(len(some) + 1) * rows.shape[1], pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.arange(at, at + len(some))), pa.ListArray.from_arrays(ends, pa.array(some.ravel()))], names=["vec_id", "embedding"]
+                    )
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "vec_id long, embedding array<float>")

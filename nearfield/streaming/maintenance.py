@@ -13,17 +13,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 from nearfield.operators.clustering import Centers, diversified
 
-FEED = "op string, vec_id long, embedding array<float>"
+FEED = "seq long, op string, vec_id long, embedding array<float>"
 
 
 def feed(spark: SparkSession, path: str) -> DataFrame:
-    """op ('insert' or 'delete'), vec_id, embedding as files arrive."""
+    """seq (grows with time), op ('insert' or 'delete'), vec_id, embedding as files arrive."""
     return spark.readStream.schema(FEED).parquet(path)
 
 
 def apply_batch(changes: DataFrame, batch: int, root: str, centers: Centers, replicas: int = 4) -> None:
-    """The last change of an id in a batch counts; an insert is assigned to its lists, a delete becomes a tombstone."""
-    order = Window.partitionBy("vec_id").orderBy(F.desc("op"))
+    """The last change of an id in a batch counts, by seq (of equal ones the delete); an insert is assigned to its lists, a delete becomes a tombstone."""
+    order = Window.partitionBy("vec_id").orderBy(F.desc("seq"), "op")
     last = changes.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
     new = last.filter("op = 'insert'")
     lists = diversified(new, centers, replicas).select("vec_id", "center_id")
