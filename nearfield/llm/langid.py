@@ -3,7 +3,8 @@
 For each language a context tree of order three counts which byte class follows which three. A symbol seen in a
 context costs n / (N + T); otherwise an escape T / (N + T) is paid and the next shorter context, without the
 symbols already excluded, is asked (method C with exclusion). Frozen counts give one exact distribution for each
-context, which is compiled into a table; the code length of a text is the sum of its symbols' costs, whole text.
+context, which is compiled into a table of costs in 2048ths of a bit; the code length of a text is the exact sum of its
+symbols' costs, whole text.
 
 Bytes are first mapped to at most `CODES` classes: letters without case, one class each for white space, digits
 and other ASCII, and the most frequent bytes above 127.
@@ -34,6 +35,8 @@ CODES = 48
 SAMPLE_DOCS = 500
 ORDER = 3
 LANGUAGES = 48
+#: Costs are whole numbers of this part of a bit, up to 32 bits, so that sums of them are exact.
+UNIT = 1 / 2048
 #: Bytes whose costs are looked up at a time.
 BLOCK = 1 << 18
 
@@ -42,7 +45,8 @@ BLOCK = 1 << 18
 class Model:
     languages: list[str]
     code_of: np.ndarray  # byte -> class
-    bits: np.ndarray  # [class ** 4, language]: cost of the last class after the first three
+    costs: np.ndarray  # [class ** 4, language]: cost of the last class after the first three, in units of a bit
+    unit: float = 1.0
 
 
 def byte_classes(histogram: np.ndarray) -> np.ndarray:
@@ -133,7 +137,7 @@ def fit(docs: DataFrame, docs_each: int = SAMPLE_DOCS) -> Model:
         raise ValueError(f"{len(languages)} languages; a model has {LANGUAGES} at most")
     histogram = np.bincount(found.gram & 255, weights=found.n, minlength=256)
     code_of = byte_classes(histogram)
-    bits = np.empty((CODES ** (ORDER + 1), len(languages)), np.float32)
+    costs = np.empty((CODES ** (ORDER + 1), len(languages)), np.uint16)
     for k, lang in enumerate(languages):
         own = found[found.lang == lang]
         gram = own.gram.to_numpy()
@@ -141,8 +145,8 @@ def fit(docs: DataFrame, docs_each: int = SAMPLE_DOCS) -> Model:
         for shift in (24, 16, 8, 0):
             index = index * CODES + code_of[(gram >> shift) & 255]
         counts = np.bincount(index, weights=own.n, minlength=CODES ** (ORDER + 1)).reshape((CODES,) * (ORDER + 1))
-        bits[:, k] = -np.log2(distribution(counts)).ravel()
-    return Model(languages, code_of, bits)
+        costs[:, k] = np.minimum(np.rint(-np.log2(distribution(counts)) / UNIT), 65_535).ravel()
+    return Model(languages, code_of, costs, UNIT)
 
 
 def has_letter(text: bytes) -> bool:
@@ -159,8 +163,8 @@ def code_lengths(texts: list[bytes], model: Model) -> np.ndarray:
         index, starts = coded([texts[k] for k in rows], model.code_of)
         ends = np.append(starts[1:] - 3, len(index))
         sums = np.zeros((len(index) + 1, len(model.languages)))
-        np.cumsum(model.bits.take(index, axis=0), axis=0, dtype=np.float64, out=sums[1:])
-        out[rows] = sums[ends] - sums[starts]
+        np.cumsum(model.costs.take(index, axis=0), axis=0, dtype=np.float64, out=sums[1:])
+        out[rows] = (sums[ends] - sums[starts]) * model.unit
 
     for k, text in enumerate(texts):
         if len(text) > BLOCK:  # the three bytes before a block are its first contexts
@@ -169,7 +173,8 @@ def code_lengths(texts: list[bytes], model: Model) -> np.ndarray:
                 codes = model.code_of[np.frombuffer(text[max(at - 3, 0) : at + BLOCK], np.uint8)]
                 codes = np.concatenate([np.zeros(3 - min(at, 3), np.uint8), codes]).astype(np.int32)
                 index = ((codes[:-3] * CODES + codes[1:-2]) * CODES + codes[2:-1]) * CODES + codes[3:]
-                out[k] += model.bits.take(index, axis=0).sum(0, dtype=np.float64)
+                out[k] += model.costs.take(index, axis=0).sum(0, dtype=np.float64)
+            out[k] *= model.unit
             continue
         if few and size + len(text) > BLOCK:
             together(few)

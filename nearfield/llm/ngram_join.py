@@ -41,7 +41,7 @@ from nearfield.llm.common import LOWER, batches, binary_text, forget, free_name,
 LONGS = 8
 WIDEST = 1 << 17
 #: Bytes of text in one chunk of the exchange.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -50,7 +50,7 @@ class WordHashes(dict):
     """64-bit hashes of words; emptied when it holds too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

@@ -480,7 +480,7 @@ def test_language_model_of_bytes(spark):
     assert {r.lang_pred for r in langid.language_of(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert langid.language_of(df.limit(0)).count() == 0
     model = langid.fit(df)
-    assert np.allclose((2.0 ** -model.bits[:, 0].astype(float)).reshape(-1, langid.CODES).sum(1), 1, atol=2e-2)
+    assert np.allclose((2.0 ** -(model.costs[:, 0] * model.unit)).reshape(-1, langid.CODES).sum(1), 1, atol=1e-3)
     kept = langid.keep(df, model)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(by) - {900, 901, 902}
 
@@ -595,3 +595,24 @@ def test_log_bilinear_trains_on_every_count(monkeypatch):
     monkeypatch.setattr(lm.LogBilinear, "step", step)
     lm.train(counts)
     assert ((seen > 0) == (counts > 0)).all() and np.allclose(seen, counts)
+
+
+def test_pipeline_keeps_clean_documents(spark, tmp_path, monkeypatch):
+    """Every stage of the pipeline on a small corpus with one bad document for each, and documents without a text."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    lexicon = {"en": "the and of to in that with from this over under", "de": "der die und nicht mit von auf ist ein eine auch"}
+    prose = lambda la, n: " ".join(rng.choices(lexicon[la].split(), k=n)) + " " + " ".join(f"{rng.choice('bcdfg')}a{rng.randint(0, 10**6)}" for _ in range(n))
+    rows = [(k, prose("en" if k % 2 else "de", 40), "en" if k % 2 else "de", "s") for k in range(120)]
+    toxic = [(200 + k, prose("en", 30) + " vilewretch scumlord " * 3, "en", "s") for k in range(60)]
+    passage = " ".join(f"quiz{k}" for k in range(14))
+    bad = [(300, rows[0][1], "de", "s"), (301, rows[2][1] + " more", "de", "s"), (302, prose("en", 30) + " " + passage, "en", "s"), (303, None, None, "s"), (304, "12 34", None, "s")]
+    spark.createDataFrame(rows + toxic + bad, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i >= 200)) for i in [*range(120), *range(200, 260)]], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([("q", passage)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()} == set(range(120))
+    empty = spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, empty, str(tmp_path))
+        assert left.columns == empty.columns and left.count() == 0, name
