@@ -5,6 +5,9 @@ four return the columns of documents. Documents go if they are toxic (score of o
 language can be told with a posterior of one half or if they have no letter, if they are a copy or near copy (five
 words, similarity 0.8) of a document with a smaller id, and if they hold a benchmark passage (ten words, or a
 whole shorter item). What is left is packed.
+
+Rows with a null text or one without a letter go as unidentified; ids may repeat or be null, rows are judged by id and
+text; texts of any length are read whole; an empty table stays empty; extra columns pass through the first four stages.
 """
 
 from __future__ import annotations
@@ -12,9 +15,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from nearfield.llm import decontam, langid, ngram_join, packing, toxicity
-from nearfield.llm.common import forget, materialise, shared_folder, table
+from nearfield.llm.common import forget, free_name, materialise, remove, shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,11 +36,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    index = materialise(decontam.build_index(docs))
+    name = free_name(docs, "row_hash")  # of id and text, as ids may repeat or be null
+    marked = docs.withColumn(name, F.xxhash64("doc_id", "text"))
+    index = materialise(decontam.build_index(marked, id_column=name))
     hits = decontam.search_index(index, table(spark, sf_dir, "benchmark"))
-    bad = materialise(hits.filter("size(spans) > 0").select("doc_id"))
+    bad = materialise(hits.filter("size(spans) > 0").select(F.col("doc_id").alias("bad_hash")))
     forget(index)
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return marked.join(bad, marked[name] == bad.bad_hash, "left_anti").drop(name)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,4 +70,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:  # nothing reads the stage before any more
+            remove(spark, f"{folder}/{k - 1}")
     return docs
