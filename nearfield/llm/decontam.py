@@ -31,7 +31,7 @@ WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256)
 )
 #: A segment is closed at so many words (one document is never cut, so a longer one is a segment of its own).
-SEGMENT_WORDS = 1 << 19
+SEGMENT_WORDS = 1 << 17
 #: Benchmark text that one pass over the index takes.
 BLOCK_BYTES = 4 << 20
 

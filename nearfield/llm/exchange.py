@@ -25,7 +25,7 @@ from nearfield.llm.common import lean
 ITEMS = 60_000
 _MANY = 65_535
 #: Bytes of text whose keys one bucket takes.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 4 << 20
 SCHEMA = "bucket int, chunk long, kind int, n int, body binary"
 
 

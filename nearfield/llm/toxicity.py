@@ -333,8 +333,11 @@ def keep(docs: DataFrame, model: Model, limit: float = 0.5, text_column: str = "
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value.automaton()
         for batch in parts:
-            values = (scores([t.as_py()], shared.value, automaton)[0] for t in batch.column(at).cast(pa.binary()))
-            yield batch.filter(pa.array([v < limit for v in values], pa.bool_()))
+            step = max(1, batch.num_rows * (1 << 20) // max(batch.column(at).nbytes, 1))
+            for first in range(0, batch.num_rows, step):
+                part = batch.slice(first, step)
+                values = (scores([t.as_py()], shared.value, automaton)[0] for t in part.column(at).cast(pa.binary()))
+                yield part.filter(pa.array([v < limit for v in values], pa.bool_()))
 
     return docs.mapInArrow(lean(run), docs.schema)
 
