@@ -13,38 +13,59 @@ text; texts of any length are read whole; an empty table stays empty; extra colu
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm import decontam, langid, ngram_join, packing, toxicity
-from nearfield.llm.common import forget, free_name, materialise, remove, shared_folder, table
+from nearfield.llm.common import forget, free_name, materialise, remove, shared_folder, small_batches, table
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def bounded(stage: Stage) -> Stage:
+    """The stage with whole documents going to its Python workers in batches of a few MB."""
+
+    @wraps(stage)
+    def run_bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_bounded
+
+
+@bounded
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     held = toxicity.held_out(5, 0)
     model = toxicity.fit(docs.filter(~held), table(spark, sf_dir, "labels").filter(~held))
     return toxicity.keep(docs, model)
 
 
+@bounded
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep(docs, langid.fit(docs.filter(langid.may_learn(3, 1))))
 
 
+@bounded
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ngram_join.keep_one(docs, width=5, percent=80)
 
 
+@bounded
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     name = free_name(docs, "row_hash")  # of id and text, as ids may repeat or be null
     marked = docs.withColumn(name, F.xxhash64("doc_id", "text"))
-    index = materialise(decontam.build_index(marked, id_column=name))
+    index = decontam.stored_index(marked, id_column=name)
     hits = decontam.search_index(index, table(spark, sf_dir, "benchmark"))
     bad = materialise(hits.filter("size(spans) > 0").select(F.col("doc_id").alias("bad_hash")))
     forget(index)
     return marked.join(bad, marked[name] == bad.bad_hash, "left_anti").drop(name)
 
 
+@bounded
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

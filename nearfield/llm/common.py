@@ -30,16 +30,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: the lineage ends there, columns still prune."""
+def materialise(df: DataFrame, group_bytes: int | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: the lineage ends there, columns still prune.
+
+    group_bytes is for long rows: readers hold a row group at a time, which else has a hundred rows at least.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/nearfield-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if group_bytes is not None:
+        checks = ("parquet.block.size.row.check.min", "parquet.page.size.row.check.min")
+        writer = writer.options(**{"parquet.block.size": group_bytes, **dict.fromkeys(checks, 1)})
+    writer.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._nearfield_path = path
     return table
 
 
+def small_batches(spark: SparkSession, limit: str = "4m") -> None:
+    """Bounds the Arrow batches of the session where it has no bound of its own.
+
+    Rows are whole documents here: the usual 64 MB a batch are held several times over, by the JVM and by each worker.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, limit)
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables that `materialise` wrote and nothing reads any more, and lets Spark clean up their shuffles."""
     for df in tables:
@@ -87,6 +104,7 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     """Gives memory back to the system when a task ends: a Python worker stays alive, idle, beside the next ones."""
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.collect()  # what the task before held itself
         yield from run(parts)
         gc.collect()
         pa.default_memory_pool().release_unused()

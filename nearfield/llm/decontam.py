@@ -4,9 +4,9 @@
 the sorted terms it holds, and for each term the sorted list of its positions. Positions count all words of a
 segment, with a gap between documents, so that no phrase runs over a border. The index is an ordinary table.
 
-`search_index` takes the benchmark in blocks of a bounded size. In each segment a phrase is looked up from its
-rarest term: the shorter lists are shifted by their offset and intersected first, so that most phrases end after
-one or two short lists. Cost grows with segments times phrases of a block; nothing is shuffled but one small row
+`search_index` takes the benchmark in blocks of a bounded size, one of which is held at a time. In each segment only
+phrases whose terms it all holds are looked up, from the rarest term: the shorter lists are shifted by their offset
+and intersected first, so that most phrases end after one or two short lists. Nothing is shuffled but one small row
 for each document and block when there is more than one block.
 
 Edge cases: null or wordless text gives n_words 0 and no match; an item without words has no window; an item
@@ -20,7 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,9 @@ WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256)
 )
 #: A segment is closed at so many words (one document is never cut, so a longer one is a segment of its own).
-SEGMENT_WORDS = 1 << 17
+SEGMENT_WORDS = 1 << 15
+#: Bytes of segments in one row group of the stored index.
+GROUP_BYTES = 4 << 20
 #: Benchmark text that one pass over the index takes.
 BLOCK_BYTES = 4 << 20
 
@@ -98,6 +102,11 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     )
 
 
+def stored_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The index of docs as a written table."""
+    return materialise(build_index(docs, id_column, text_column), GROUP_BYTES)
+
+
 def windows_of(items: list[tuple[str, bytes]], width: int) -> list[tuple[list[bytes], list[str]]]:
     """The distinct windows of the items with the ids of all items that hold them."""
     found: dict[tuple[bytes, ...], set[str]] = {}
@@ -134,33 +143,73 @@ def near_spans(lists: list[tuple[int, np.ndarray]], slop: int) -> list[tuple[int
     return list(zip(starts[keep].tolist(), (last[keep] + 1).tolist(), strict=True))
 
 
-def _search_block(
-    index: DataFrame, windows: list[tuple[list[bytes], list[str]]], slop: int
-) -> DataFrame:
-    shared = index.sparkSession.sparkContext.broadcast(windows)
-
+class Block:
+    """The distinct windows of some items: places in one stream of term codes, by width, with the items that hold each."""
+
+    def __init__(self, items: list[tuple[str, bytes]], width: int) -> None:
+        known: dict[bytes, int] = {}
+        names: dict[str, int] = {}
+        codes, begins, sizes, owners, at = [], [], [], [], 0
+        for item, text in items:
+            words = words_of(text)
+            if not words:
+                continue
+            for word in words:
+                known.setdefault(word, len(known))
+            codes.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+            size = min(width, len(words))
+            starts = np.arange(at, at + len(words) - size + 1, dtype=np.int32)
+            begins.append(starts)
+            sizes.append(np.full(len(starts), size, np.int32))
+            owners.append(np.full(len(starts), names.setdefault(item, len(names)), np.int32))
+            at += len(words)
+        self.terms, self.names = list(known), list(names)
+        self.stream = np.concatenate(codes) if codes else np.empty(0, np.int32)
+        #: (width, where each distinct window starts, ends of its items, items)
+        self.groups: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        if not codes:
+            return
+        begin, size, owner = (np.concatenate(x) for x in (begins, sizes, owners))
+        for k in np.unique(size).tolist():
+            mine = size == k
+            windows = self.stream[begin[mine][:, None] + np.arange(k, dtype=np.int32)]
+            _, first, which = np.unique(windows, axis=0, return_index=True, return_inverse=True)
+            pairs = np.unique(np.stack([which.ravel(), owner[mine]], 1), axis=0)
+            ends = np.cumsum(np.bincount(pairs[:, 0], minlength=len(first)))
+            self.groups.append((k, begin[mine][first], ends, pairs[:, 1]))
+
+    def possible(self, terms: pa.Array) -> Iterator[tuple[np.ndarray, list[str]]]:
+        """For each window whose words are all among the terms: their places there, and the ids of its items."""
+        place = pc.index_in(pa.array(self.terms, terms.type), value_set=terms)
+        place = place.fill_null(-1).to_numpy(zero_copy_only=False)
+        ranks = place[self.stream]
+        for k, starts, ends, items in self.groups:
+            alive = np.arange(len(starts))
+            for offset in range(k):
+                alive = alive[ranks[starts[alive] + offset] >= 0]
+            for w in alive.tolist():
+                owners = items[(ends[w - 1] if w else 0) : ends[w]]
+                yield ranks[starts[w] : starts[w] + k], [self.names[i] for i in owners]
+
+
+def _search_block(index: DataFrame, shared: Broadcast, slop: int) -> DataFrame:
     def search(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for row in range(batch.num_rows):
-                read = lambda name, kind: np.frombuffer(batch.column(name)[row].as_py(), kind)  # noqa: B023,E731
-                ids, starts = read("doc_ids", np.int64), read("doc_starts", np.int64)
-                ends, positions = read("ends", np.int64), read("positions", np.int32)
-                place = {term: k for k, term in enumerate(batch.column("terms")[row].as_py())}
-                posting = lambda k: positions[(ends[k - 1] if k else 0) : ends[k]]  # noqa: B023,E731
+                cell = {n: np.frombuffer(batch.column(n)[row].as_buffer(), np.int64) for n in ("doc_ids", "doc_starts", "doc_words", "ends")}
+                ids, starts, counts, ends = cell.values()
+                positions = np.frombuffer(batch.column("positions")[row].as_buffer(), np.int32)
                 spans: dict[int, list] = {}
                 items: dict[int, set] = {}
-                for words, owners in shared.value:
-                    ranks = [place.get(w) for w in words]
-                    if None in ranks:
-                        continue
-                    lists = [(o, posting(k)) for o, k in enumerate(ranks)]
+                for ranks, owners in shared.value.possible(batch.column("terms")[row].values):
+                    lists = [(o, positions[(ends[r - 1] if r else 0) : ends[r]]) for o, r in enumerate(ranks.tolist())]
                     if slop:
                         found = near_spans(lists, slop)
                     else:
-                        found = [(s, s + len(words)) for s in phrase_starts(lists).tolist()]
+                        found = [(s, s + len(ranks)) for s in phrase_starts(lists).tolist()]
                     for start, end in found:
                         doc = int(np.searchsorted(starts, start, side="right")) - 1
-                        if slop and end > starts[doc] + read("doc_words", np.int64)[doc]:
+                        if slop and end > starts[doc] + counts[doc]:
                             continue
                         spans.setdefault(doc, []).append((int(start - starts[doc]), int(end - starts[doc])))
                         items.setdefault(doc, set()).update(owners)
@@ -170,7 +219,7 @@ def _search_block(
                         pa.array([batch.column("segment")[row].as_py()] * len(ids), pa.int64()),
                         pa.array(range(len(ids)), pa.int64()),
                         pa.array(ids),
-                        pa.array(read("doc_words", np.int64)),
+                        pa.array(counts),
                         pa.array(
                             [[{"start": s, "end": e} for s, e in x] for x in merged],
                             pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])),
@@ -209,11 +258,15 @@ def search_index(
     rows = benchmark.select(
         F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("item"), binary_text(text_column).alias("text")
     )
-    found, block, size = [], [], 0
+    found, block, size, shared = [], [], 0, None
 
     def flush() -> None:
-        nonlocal block, size
-        found.append(_search_block(index, windows_of(block, width), slop))
+        nonlocal block, size, shared
+        if shared is not None:  # a block before this one: its hits are written, so that one block's windows are held at a time
+            found[-1] = materialise(found[-1])
+            shared.destroy()
+        shared = index.sparkSession.sparkContext.broadcast(Block(block, width))
+        found.append(_search_block(index, shared, slop))
         block, size = [], 0
 
     for row in rows.toLocalIterator(prefetchPartitions=False):
@@ -248,7 +301,7 @@ def search_index(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 0) -> DataFrame:
     """Builds and stores the index of docs, then searches it. See `search_index` for the columns."""
-    return search_index(materialise(build_index(docs)), benchmark, width, slop)
+    return search_index(stored_index(docs), benchmark, width, slop)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
