@@ -40,6 +40,8 @@ COVERS = 6.0
 #: Log-odds that an entry has at least.
 WEIGHT = 1.5
 PREFIXES = range(4, 13)
+#: Features that a task counts before it hands them on; partial counts are added up later.
+HELD = 200_000
 
 #: Look-alike letters of other scripts and the Latin letters they imitate.
 HOMOGLYPHS = str.maketrans(
@@ -149,19 +151,27 @@ def _per_label(sample: DataFrame, seen_in) -> DataFrame:
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            keys = list(toxic.keys() | clean.keys())
+            for at in range(0, len(keys), 50_000):
+                some = keys[at : at + 50_000]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "feature": pa.array(some, pa.string()),
+                        "toxic": pa.array([toxic[k] for k in some], pa.int64()),
+                        "clean": pa.array([clean[k] for k in some], pa.int64()),
+                    }
+                )
+            toxic.clear()
+            clean.clear()
+
         for text, label in batches(parts, ["text", "toxic"], 1 << 20):
             for t, y in zip(text, label, strict=True):
                 (toxic if y else clean).update(seen_in(folded(t.decode())))
-        keys = list(toxic | clean)
-        for at in range(0, len(keys), 50_000):
-            some = keys[at : at + 50_000]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "feature": pa.array(some, pa.string()),
-                    "toxic": pa.array([toxic[k] for k in some], pa.int64()),
-                    "clean": pa.array([clean[k] for k in some], pa.int64()),
-                }
-            )
+                if len(toxic) + len(clean) > HELD:
+                    yield from counted()
+        yield from counted()
 
     return (
         sample.mapInArrow(lean(count), "feature string, toxic long, clean long")
