@@ -38,7 +38,8 @@ WINDOW = 2048
 CLASSES = 128
 DEPTH = 3
 END_ID = 1
-_STRETCHES = 1_200_000
+#: Stretches that a worker remembers, about 60 MB with their ids.
+_STRETCHES = 300_000
 #: The normaliser of a tokenizer whose stretches between white space may be encoded apart, and what stands between them.
 APART = ["NFC", "Replace", "Lowercase"]
 _MARK = "\0"
@@ -198,7 +199,7 @@ def cut(docs: DataFrame, path: str, measure: Callable[[bytes], int], text_column
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen, task = Ids.kept(path), [0] * (CLASSES + 1), TaskContext.get().partitionId()
-        for texts, docs_ in batches(parts, ["text", "doc_id"], 4 << 20):
+        for texts, docs_ in batches(parts, ["text", "doc_id"], 1 << 20):
             out = []
             for doc_id, ids in zip(docs_, known.of(texts), strict=True):
                 total = len(ids) // 4
@@ -287,7 +288,7 @@ def sequences(docs: DataFrame, path: str, placed: DataFrame, text_column: str =
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Ids.kept(path)
-        for texts, docs_ in batches(parts, ["text", "doc_id"], 4 << 20):
+        for texts, docs_ in batches(parts, ["text", "doc_id"], 1 << 20):
             for doc_id, packed in zip(docs_, known.of(texts), strict=True):
                 ids = np.frombuffer(packed, "<u4")
                 starts = range(0, len(ids), WINDOW)
