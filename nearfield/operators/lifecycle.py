@@ -48,20 +48,26 @@ def centers_of(lists: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def maintained(lists: DataFrame, new: DataFrame, vectors: DataFrame, limit: int, threshold: int, rounds: int = 4) -> DataFrame:
-    """vec_id, center_id after one cycle: append, split what is too long until nothing is or `rounds` ran, move rows
-    whose list is gone to the nearest centre, merge what is too short. Every row of lists and new keeps a list.
+    """vec_id, center_id after one cycle: append, move rows whose list is gone to the nearest centre, split what is too
+    long, merge what is too short. Every row of lists and new keeps a list, and no list is longer than limit.
+
+    `rounds` rounds split around two centres; what is too long after them is cut by a hash of the id until nothing is.
+    If there is no list at all, the new rows open those that they name. Ids of new rows must not be in lists yet.
     """
-    every, _, lost = appended(lists.select("vec_id", "center_id"), new.select("vec_id", "center_id"), limit)
-    for _ in range(rounds):
-        if maintenance.oversize(every, limit).isEmpty():
-            break
-        top = every.agg(F.max("center_id")).first()[0]
-        every = maintenance.split(every, vectors, limit, top + 1)
-        every = lineage.cut(every)
+    lists, new = lists.select("vec_id", "center_id"), new.select("vec_id", "center_id")
+    if not new.join(lists, "vec_id", "left_semi").isEmpty():
+        raise ValueError("new rows have ids that are in the lists already")
+    every, _, lost = appended(lists, new, limit)
+    if lists.isEmpty():
+        every, lost = new, lost.limit(0)
     homeless = vectors.join(lost, "vec_id", "left_semi")
-    centers = centers_of(every, vectors)
-    every = every.unionByName(assign(homeless, collected_centers(centers)).select("vec_id", "center_id"))
-    return maintenance.merge_small(every, centers, threshold, limit)
+    every = every.unionByName(assign(homeless, collected_centers(centers_of(lists, vectors))).select("vec_id", "center_id"))
+    every, done = lineage.cut(every.distinct()), 0
+    while not maintenance.oversize(every, limit).isEmpty():
+        top = every.agg(F.max("center_id")).first()[0]
+        every = maintenance.split(every, vectors, limit, top + 1) if done < rounds else maintenance.split_by_id(every, limit, top + 1, done)
+        every, done = lineage.cut(every), done + 1
+    return maintenance.merge_small(every, centers_of(every, vectors), threshold, limit)
 
 
 def broken_assumption(lists: DataFrame, vectors: DataFrame, centers: Centers) -> DataFrame:

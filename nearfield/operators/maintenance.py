@@ -5,13 +5,17 @@ Tables are immutable; every change is a new DataFrame, and deletes are tombstone
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions import vectors as V
 from nearfield.operators import lineage
 from nearfield.operators.clustering import Centers, assign
-from nearfield.operators.kernels import collected_centers, nearest_centers
+from nearfield.operators.kernels import collected_centers, matrix, nearest_centers
 from nearfield.operators.search import within
 
 #: A table is compacted when more than this share of its rows is deleted.
@@ -115,26 +119,66 @@ def split(postings: DataFrame, vectors: DataFrame, limit: int, first_new_id: int
     """
     large = oversize(postings, limit)
     rows = postings.join(large, "center_id").join(vectors.select("vec_id", "embedding"), "vec_id").select("center_id", "vec_id", "embedding")
+    rows = rows.persist()  # every round reads them
     one = rows.groupBy("center_id").agg(F.min_by("embedding", "vec_id").alias("c1"))
     two = rows.join(one, "center_id").groupBy("center_id").agg(
         F.max_by("embedding", F.struct(V.l2("embedding", "c1"), -F.col("vec_id"))).alias("c2"), F.first("c1").alias("c1")
     )
+    two = lineage.cut(two.select("center_id", F.col("c1").cast("array<double>").alias("c1"), F.col("c2").cast("array<double>").alias("c2")))
     for _ in range(rounds):
-        sided = rows.join(two, "center_id").withColumn("right", V.l2("embedding", "c2") < V.l2("embedding", "c1"))
-        flat = sided.select("center_id", "right", F.posexplode("embedding").alias("pos", "x"))
-        mean = flat.groupBy("center_id", "right", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-        whole = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"])
-        sides = mean.groupBy("center_id", "right").agg(whole.alias("c"))
-        fresh_two = sides.groupBy("center_id").agg(
-            F.max(F.when(~F.col("right"), F.col("c"))).alias("n1"), F.max(F.when(F.col("right"), F.col("c"))).alias("n2")
-        )
-        two = two.join(fresh_two, "center_id").select("center_id", F.coalesce("n1", "c1").alias("c1"), F.coalesce("n2", "c2").alias("c2"))
+        two = lineage.cut(_sides(rows, two))
     number = numbered_by(large, "center_id").select("center_id", (F.col("place") + F.lit(first_new_id)).alias("new_"))
     right = V.l2("embedding", "c2") < V.l2("embedding", "c1")
     halves = rows.join(two, "center_id").join(number, "center_id").select("vec_id", F.when(right, F.col("new_")).otherwise(F.col("center_id")).cast("long").alias("center_id"))
+    halves = lineage.cut(halves)
+    rows.unpersist()
     return postings.join(large, "center_id", "left_anti").select("vec_id", "center_id").unionByName(halves)
 
 
+def _sides(rows: DataFrame, two: DataFrame) -> DataFrame:
+    """center_id, c1, c2: the means of the rows that are nearer to c1 and to c2; a centre without rows stays. Tasks add
+    up their own rows first."""
+
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, bool], list] = {}
+        for batch in parts:
+            if not batch.num_rows:
+                continue
+            ids, x, c1, c2 = batch.column(0).to_numpy(zero_copy_only=False), *(matrix(c) for c in batch.columns[1:])
+            right = ((x - c2) ** 2).sum(1) < ((x - c1) ** 2).sum(1)
+            keys, at = np.unique(2 * ids + right, return_inverse=True)
+            totals, counts = np.zeros((len(keys), x.shape[1])), np.bincount(at, minlength=len(keys))
+            np.add.at(totals, at, x)
+            for key, total, n in zip(keys.tolist(), totals, counts.tolist(), strict=True):
+                own = sums.setdefault((key >> 1, bool(key & 1)), [0.0, 0])
+                own[0], own[1] = own[0] + total, own[1] + n
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.float64()))
+        columns = ([c for c, _ in sums], [r for _, r in sums], [n for _, n in sums.values()], [t.tolist() for t, _ in sums.values()])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["center_id", "right", "n", "total"])
+
+    known = rows.filter(F.col("embedding").isNotNull()).join(two, "center_id").select("center_id", "embedding", "c1", "c2")
+    partial = known.mapInArrow(add, "center_id long, right boolean, n long, total array<double>")
+    flat = partial.select("center_id", "right", "n", F.posexplode("total").alias("pos", "x"))
+    mean = flat.groupBy("center_id", "right", "pos").agg((F.sum("x") / F.sum("n")).alias("x"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"])
+    sides = mean.groupBy("center_id", "right").agg(whole.alias("c"))
+    found = sides.groupBy("center_id").agg(F.max(F.when(~F.col("right"), F.col("c"))).alias("n1"), F.max(F.when(F.col("right"), F.col("c"))).alias("n2"))
+    return two.join(found, "center_id").select("center_id", F.coalesce("n1", "c1").alias("c1"), F.coalesce("n2", "c2").alias("c2"))
+
+
+def split_by_id(postings: DataFrame, limit: int, first_new_id: int, seed: int) -> DataFrame:
+    """vec_id, center_id: lists above `limit` cut into pieces of about half of it by a seeded hash of the id, whatever
+    their vectors are; the first piece keeps the list's id."""
+    sizes = postings.groupBy("center_id").count().filter(F.col("count") > limit)
+    pieces = sizes.select("center_id", F.ceil(2 * F.col("count") / limit).alias("pieces_"))
+    most = pieces.agg(F.max("pieces_")).first()[0] or 1
+    number = numbered_by(pieces, "center_id").select("center_id", "pieces_", (F.col("place") * most + first_new_id).alias("new_"))
+    piece = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.col("pieces_"))
+    cut = postings.join(number, "center_id").withColumn("piece_", piece)
+    cut = cut.select("vec_id", F.when(F.col("piece_") > 0, F.col("new_") + F.col("piece_")).otherwise(F.col("center_id")).cast("long").alias("center_id"))
+    return postings.join(number, "center_id", "left_anti").select("vec_id", "center_id").unionByName(cut)
+
+
 #: Nearest longer lists that a short one may move into.
 CHOICES = 64
 
