@@ -57,19 +57,38 @@ def small_batches(spark: SparkSession, limit: str = "4m") -> None:
         spark.conf.set(name, limit)
 
 
-def forget(*tables: DataFrame) -> None:
-    """Deletes tables that `materialise` wrote and nothing reads any more, and lets Spark clean up their shuffles."""
+def shuffles(spark: SparkSession) -> set[str]:
+    """The numbers of the shuffles that Spark keeps on disk."""
+    kept = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    return set(kept.keySet().mkString(",").split(",")) - {""}
+
+
+def forget(*tables: DataFrame, gone: frozenset[str] | set[str] = frozenset()) -> None:
+    """Deletes tables that `materialise` wrote and nothing reads any more, and lets Spark clean up their shuffles.
+
+    Spark drops a shuffle only once a collection finds that neither Python nor a listener holds its plan any more. With
+    `gone`, collections go on, for some seconds at most, until these shuffles are dropped.
+    """
     for df in tables:
         path = getattr(df, "_nearfield_path", None)
         if path is not None:
             remove(df.sparkSession, path)
-    gc.collect()
-    jvm = SparkSession.getActiveSession()._jvm
-    # a worker thread tells the JVM which objects Python dropped; only after that can their shuffles go
-    waiting, until = getattr(jvm._gateway_client, "finalizer_deque", ()), time.monotonic() + 2
-    while waiting and time.monotonic() < until:
-        time.sleep(0.02)
-    jvm.System.gc()
+    spark, end = SparkSession.getActiveSession(), time.monotonic() + 15
+    jvm, patience = spark._jvm, 2
+    while True:
+        gc.collect()
+        # a worker thread tells the JVM which objects Python dropped; only after that can their shuffles go
+        waiting, until = getattr(jvm._gateway_client, "finalizer_deque", ()), time.monotonic() + patience
+        while waiting and time.monotonic() < until:
+            time.sleep(0.02)
+        jvm.System.gc()
+        if not gone:
+            return
+        until = min(end, time.monotonic() + 1)  # a thread of its own removes what the collection found
+        while shuffles(spark) & gone and time.monotonic() < until:
+            time.sleep(0.05)
+        if not shuffles(spark) & gone or time.monotonic() >= end:
+            return
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,16 +125,21 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.collect()  # what the task before held itself
         yield from run(parts)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        give_back()
 
     return task
 
 
+def give_back() -> None:
+    """What this Python process holds and doesn't use goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def numbered(df: DataFrame, group: str, counted: str = "slot_in_task", task: str = "task_id", position: str = "position") -> DataFrame:
     """Adds `position`, gapless from 0 in each group, to rows that carry (task, group, number in that pair).
 

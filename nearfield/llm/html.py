@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm import exchange
-from nearfield.llm.common import forget, lean, materialise
+from nearfield.llm.common import forget, lean, materialise, shuffles
 
 #: Tokens that a repeated passage has at least.
 REPEAT = 8
@@ -323,7 +323,8 @@ def extract(pages: DataFrame, least: int = REPEAT) -> DataFrame:
     size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     buckets, mask = max(1, -(-size // exchange.BUCKET_BYTES)), mask_for(size // 4)
     chunks = materialise(parse(pages))
+    before = shuffles(pages.sparkSession)
     answers = materialise(exchange.answered(heads(chunks, least, buckets, mask), buckets))
-    forget()  # the exchange's shuffle
+    forget(gone=shuffles(pages.sparkSession) - before)  # the exchange's shuffle must be gone before the next one is written
     texts = without_repeats(chunks, answers, least, mask)
     return texts.withColumn("n_chars", F.length("text").cast("long"))
