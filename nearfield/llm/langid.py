@@ -72,20 +72,40 @@ def coded(texts: list[bytes], code_of: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return index, starts
 
 
+def _finer(n: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Probabilities of the last axis after contexts one symbol longer than those of lower."""
+    seen = n > 0
+    total, kinds = n.sum(-1, keepdims=True, dtype=np.float64), seen.sum(-1, keepdims=True)
+    left = np.where(seen, 0.0, lower)
+    rest = left.sum(-1, keepdims=True)
+    escape = np.where(rest > 0, kinds, 0)
+    share = np.where(total > 0, n / np.maximum(total + escape, 1), 0.0)
+    spread = np.where(total > 0, escape / np.maximum(total + escape, 1), 1.0)
+    return share + left * spread / np.maximum(rest, 1e-300)
+
+
+def table_of(index: np.ndarray, n: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Places and probabilities of the table (c3, c2, c1, symbol), for one c3 at a time; n: how often each index stands.
+
+    A whole table of doubles is several times as large as the costs that are kept of it.
+    """
+    size = CODES**ORDER
+    counts = np.bincount(index % size, weights=n, minlength=size).reshape((CODES,) * ORDER)
+    lower = np.full(CODES, 1.0 / CODES)
+    for order in range(ORDER):
+        lower = _finer(counts.sum(axis=tuple(range(ORDER - 1 - order))), lower)
+    for c3 in range(CODES):
+        own = index // size == c3
+        part = np.bincount(index[own] - c3 * size, weights=n[own], minlength=size).reshape((CODES,) * ORDER)
+        yield slice(c3 * size, (c3 + 1) * size), _finer(part, lower).ravel()
+
+
 def distribution(counts: np.ndarray) -> np.ndarray:
     """Probabilities of the last axis after each context, from counts[c3, c2, c1, symbol]."""
-    lower = np.full(CODES, 1.0 / CODES)
-    for order in range(ORDER + 1):
-        n = counts.sum(axis=tuple(range(ORDER - order))) if order < ORDER else counts
-        seen = n > 0
-        total, kinds = n.sum(-1, keepdims=True, dtype=np.float64), seen.sum(-1, keepdims=True)
-        left = np.where(seen, 0.0, lower)
-        rest = left.sum(-1, keepdims=True)
-        escape = np.where(rest > 0, kinds, 0)
-        share = np.where(total > 0, n / np.maximum(total + escape, 1), 0.0)
-        spread = np.where(total > 0, escape / np.maximum(total + escape, 1), 1.0)
-        lower = share + left * spread / np.maximum(rest, 1e-300)
-    return lower
+    index, out = np.flatnonzero(counts), np.empty(counts.size)
+    for places, shares in table_of(index, counts.ravel()[index]):
+        out[places] = shares
+    return out.reshape(counts.shape)
 
 
 def training_sample(docs: DataFrame, lang: str = "lang", docs_each: int = SAMPLE_DOCS) -> DataFrame:
@@ -131,21 +151,21 @@ def fit(docs: DataFrame, docs_each: int = SAMPLE_DOCS) -> Model:
             )
 
     grams = rows.mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = grams.toPandas()
-    languages = sorted(found.lang.unique())
+    found = grams.toArrow()  # no rows of Python objects on the driver
+    names = found.column("lang").to_numpy()
+    grams, n = found.column("gram").to_numpy(), found.column("n").to_numpy()
+    languages = sorted(set(names))
     if len(languages) > LANGUAGES:
         raise ValueError(f"{len(languages)} languages; a model has {LANGUAGES} at most")
-    histogram = np.bincount(found.gram & 255, weights=found.n, minlength=256)
-    code_of = byte_classes(histogram)
+    code_of = byte_classes(np.bincount(grams & 255, weights=n, minlength=256))
     costs = np.empty((CODES ** (ORDER + 1), len(languages)), np.uint16)
+    index = np.zeros(len(grams), np.int64)
+    for shift in (24, 16, 8, 0):
+        index = index * CODES + code_of[(grams >> shift) & 255]
     for k, lang in enumerate(languages):
-        own = found[found.lang == lang]
-        gram = own.gram.to_numpy()
-        index = np.zeros(len(gram), np.int64)
-        for shift in (24, 16, 8, 0):
-            index = index * CODES + code_of[(gram >> shift) & 255]
-        counts = np.bincount(index, weights=own.n, minlength=CODES ** (ORDER + 1)).reshape((CODES,) * (ORDER + 1))
-        costs[:, k] = np.minimum(np.rint(-np.log2(distribution(counts)) / UNIT), 65_535).ravel()
+        own = names == lang
+        for places, shares in table_of(index[own], n[own]):
+            costs[places, k] = np.minimum(np.rint(-np.log2(shares) / UNIT), 65_535)
     return Model(languages, code_of, costs, UNIT)
 
 
