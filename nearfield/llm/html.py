@@ -29,6 +29,7 @@ import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,14 @@ REPEAT = 8
 COMMON = 3
 #: Bytes of html in one chunk.
 CHUNK_BYTES = 8 << 20
+#: Bytes of html whose heads one bucket takes; smaller ones make more rows of an exchange, one for each chunk and bucket.
+BUCKET_BYTES = 16 << 20
+#: Bytes of a token that are mixed at a time, and those of a long token.
+_WORD, _LONG = 8, 64
+#: Tokens hashed at a time.
+_RUN = 1 << 14
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(_WORD + 1)], np.uint64)
 
 #: Elements by what they do to the text (fixed by HTML).
 BLOCK_TAGS = frozenset(
@@ -174,8 +183,8 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """chunk, kind, n and body: some pages each, packed, with page_id, url, host, and the kinds and texts of the blocks
-    that are not chrome."""
+    """chunk, kind, n and body: some pages each, packed, with page_id, url, host, and the kinds and texts (a line each) of
+    the blocks that are not chrome."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
@@ -189,10 +198,10 @@ def parse(pages: DataFrame) -> DataFrame:
                     blocks = blocks_of(page or "")
                     hosts.append(host[1].lower() if host else "")
                     kinds.append([k for k, _ in blocks])
-                    texts.append([t for _, t in blocks])
+                    texts.append("\n".join([t for _, t in blocks]))
                 read = pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *(pa.array(c, t) for c, t in ((hosts, pa.string()), (kinds, pa.list_(pa.int8())), (texts, pa.list_(pa.string()))))],
-                    names=["page_id", "url", "host", "kinds", "blocks"],
+                    [part.column(0), part.column(1), *(pa.array(c, t) for c, t in ((hosts, pa.string()), (kinds, pa.list_(pa.int8())), (texts, pa.string())))],
+                    names=["page_id", "url", "host", "kinds", "text"],
                 )
                 yield pa.RecordBatch.from_pydict(
                     {"chunk": [chunk], "kind": pa.array([1], pa.int32()), "n": pa.array([part.num_rows], pa.int32()), "body": [_packed(read)]}
@@ -213,12 +222,8 @@ def _opened(body: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(body)).read_next_batch()
 
 
-class _Hashes(dict):
-    def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[token] = value = int.from_bytes(hashlib.blake2b(token.encode("utf-8", "replace"), digest_size=8).digest(), "little")
-        return value
+def _digest(token: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(token, digest_size=8).digest(), "little")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -227,19 +232,77 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def heads_of(host: int, blocks: list[str], hashes: _Hashes, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, at): the `least` leading tokens of each suffix within a block, hashed with the host; at counts over all
-    blocks. Shorter blocks are no passage."""
-    tokens = [block.split(" ") for block in blocks]
-    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    one = np.fromiter((hashes[t] for block in tokens for t in block), np.uint64, total)
-    at = np.flatnonzero(np.arange(total) + least <= np.repeat(ends, sizes))
-    key = np.full(len(at), host, np.uint64)
-    for k in range(least):
-        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + one[at + k])
-    return key, at
+class Tokens(NamedTuple):
+    """Where the tokens of a chunk's pages are; numpy goes over all pages at once, as a page alone is short."""
+
+    #: UTF-8 of the pages, one after the other, and 8 bytes more
+    data: np.ndarray
+    #: first byte and byte behind the last one of each token
+    starts: np.ndarray
+    ends: np.ndarray
+    #: tokens before each block and each page, and their number
+    blocks: np.ndarray
+    pages: np.ndarray
+
+
+def tokens_of(texts: pa.StringArray) -> Tokens:
+    """The tokens of pages of which each block is a line and each token is between single spaces."""
+    _, offsets, body = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    size = int(offsets[-1] - offsets[0])
+    data = np.zeros(size + _WORD, np.uint8)
+    if size:
+        data[:size] = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]]
+    offsets -= offsets[0]
+    line, gap = data[:size] == 10, data[:size] == 32
+    heads = offsets[:-1][np.diff(offsets) > 0]
+    first, opens = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
+    first[1:], opens[1:] = line, line | gap
+    first[heads] = opens[heads] = True
+    starts = np.flatnonzero(opens[:size])
+    after = np.append(starts[1:], size)[: len(starts)]
+    ends = after - (line | gap)[after - 1]
+    blocks = np.append(np.flatnonzero(first[starts]), len(starts))
+    return Tokens(data, starts, ends, blocks, np.searchsorted(starts, offsets))
+
+
+def token_hashes(t: Tokens, start: int, stop: int) -> np.ndarray:
+    """64 bits for each of the tokens from start to stop: its length, then 8 bytes at a time, mixed; long ones digested."""
+    at, sizes = t.starts[start:stop], t.ends[start:stop] - t.starts[start:stop]
+    words = np.ndarray((len(t.data) - _WORD + 1,), "<u8", t.data, strides=(1,))
+    hashes = _mixed(sizes.astype(np.uint64))
+    for k in range(0, min(int(sizes.max(initial=0)), _LONG), _WORD):
+        more = np.flatnonzero(sizes > k) if k else slice(None)
+        word = words[at[more] + k] & _BYTES[np.minimum(sizes[more] - k, _WORD)]
+        hashes[more] = _mixed(hashes[more] * _STEP + word)
+    for i in np.flatnonzero(sizes > _LONG).tolist():
+        hashes[i] = _digest(t.data[at[i] : at[i] + sizes[i]].tobytes())
+    return hashes
+
+
+def heads_of(t: Tokens, hosts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, at, page): the `least` leading tokens of each suffix within a block, hashed with the page's host; at counts
+    over all tokens. Shorter blocks are no passage."""
+    total = len(t.starts)
+    at = np.flatnonzero(np.arange(total) + least <= np.repeat(t.blocks[1:], np.diff(t.blocks)))
+    page = np.repeat(np.arange(len(hosts)), np.diff(t.pages))[at]
+    key = np.empty(max(0, total - least + 1), np.uint64)
+    for start in range(0, len(key), _RUN):  # short runs stay in the processor's cache
+        stop = min(start + _RUN, len(key))
+        span, size = token_hashes(t, start, stop + least - 1), 1
+        while 2 * size <= least:
+            span, size = _mixed(span[:-size] * _STEP + span[size:]), 2 * size
+        if size < least:  # two overlapping spans cover the rest
+            span = _mixed(span[: size - least] * _STEP + span[least - size :])
+        key[start:stop] = span
+    return _mixed(key[at] * _STEP + hosts[page]), at, page
+
+
+def hosts_of(pages: pa.RecordBatch) -> np.ndarray:
+    """64 bits for the host of each page."""
+    found = pages.column("host").dictionary_encode()
+    known = np.array([_digest(h.encode()) for h in found.dictionary.to_pylist()], np.uint64)
+    return known[found.indices.to_numpy()]
 
 
 def mask_for(suffixes: int) -> np.uint64:
@@ -248,53 +311,60 @@ def mask_for(suffixes: int) -> np.uint64:
     return np.uint64(((1 << bits) - 1) << (64 - bits))
 
 
+def held_by(key: np.ndarray, page: np.ndarray, hosts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and how many pages hold each; every page holds its host's."""
+    key, page = np.append(key, hosts), np.append(page, np.arange(len(hosts)))
+    order = np.argsort(key, kind="stable")
+    key, page = key[order], page[order]
+    new = np.append(True, key[1:] != key[:-1])
+    first = np.flatnonzero(new)
+    return key[first], np.add.reduceat(new | np.append(True, page[1:] != page[:-1]), first, dtype=np.int64)
+
+
 def heads(chunks: DataFrame, least: int, buckets: int, mask: np.uint64) -> DataFrame:
     """What each chunk sends: its distinct heads with the number of its pages that hold them; a host's own key has the
     number of its pages."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in parts:
             for chunk, body in zip(*(batch.column(c).to_pylist() for c in ("chunk", "body")), strict=True):
-                found = []
                 pages = _opened(body)
-                for host, blocks in zip(pages.column("host").to_pylist(), pages.column("blocks").to_pylist(), strict=True):
-                    own = hashes[host]
-                    found.append(np.unique(np.append(heads_of(own, blocks, hashes, least)[0], np.uint64(own)) & mask))
-                keys, counts = np.unique(np.concatenate(found), return_counts=True)
-                yield exchange.dealt_counts(chunk, keys, counts, buckets)
+                hosts = hosts_of(pages)
+                key, _, page = heads_of(tokens_of(pages.column("text")), hosts, least)
+                yield exchange.dealt_counts(chunk, *held_by(key & mask, page, hosts & mask), buckets)
 
     return chunks.select("chunk", "body").mapInArrow(lean(run), exchange.SCHEMA)
 
 
-def text_of(kinds: list[int], blocks: list[str], at: np.ndarray, times: np.ndarray, pages: int, least: int) -> str:
-    """The blocks without the tokens of repeated passages; times: how many of the host's pages hold the head that
-    stands at `at`. Content goes by the stricter rule."""
-    sizes = [block.count(" ") + 1 for block in blocks]
-    content = np.repeat(np.asarray(kinds) == _CONTENT, sizes)
-    hit = np.where(content[at], (times >= COMMON) & (2 * times > pages), times > 1) if len(at) else np.zeros(0, bool)
-    if not hit.any():
-        return "\n".join(blocks)
-    gone = np.zeros(len(content) + 1, np.int64)
-    np.add.at(gone, at[hit], 1)
-    np.add.at(gone, at[hit] + least, -1)
-    gone = np.cumsum(gone)[:-1] > 0
-    if gone[content].all():
-        gone &= ~content
-    kept, start = [], 0
-    for block, size in zip(blocks, sizes, strict=True):
-        left = " ".join(t for t, g in zip(block.split(" "), gone[start : start + size], strict=True) if not g)
-        start += size
-        if left:
-            kept.append(left)
-    return "\n".join(kept)
+def texts_of(t: Tokens, kinds: np.ndarray, at: np.ndarray, times: np.ndarray, pages: np.ndarray, least: int) -> pa.StringArray:
+    """The pages' blocks without the tokens of repeated passages; times: how many of the host's pages (`pages`) hold the
+    head that stands at `at`. Content goes by the stricter rule."""
+    content = np.repeat(kinds == _CONTENT, np.diff(t.blocks))
+    hit = at[np.where(content[at], (times >= COMMON) & (2 * times > pages), times > 1)]
+    gone = np.zeros(len(content) + 1, np.int32)
+    gone[hit] += 1
+    gone[hit + least] -= 1
+    keep = np.cumsum(gone)[:-1] == 0
+    left = np.diff(np.append(0, np.cumsum(content & keep))[t.pages])
+    keep |= content & np.repeat(left == 0, np.diff(t.pages))
+    kept = np.flatnonzero(keep)
+    # a token takes the byte before it along, but for a page's first one: a space, or a line's end before another block
+    page, block = (np.repeat(np.arange(len(b) - 1), np.diff(b))[kept] for b in (t.pages, t.blocks))
+    joined = np.append(False, page[1:] == page[:-1])[: len(kept)]
+    start, end = t.starts[kept] - joined, t.ends[kept]
+    data, taken = t.data.copy(), np.zeros(len(t.data) + 1, np.int8)
+    data[start[joined]] = np.where(np.append(False, block[1:] == block[:-1])[: len(kept)][joined], 32, 10)
+    taken[start] += 1
+    taken[end] -= 1
+    body = data[np.cumsum(taken, dtype=np.int8)[:-1].view(bool)]
+    offsets = np.append(0, np.cumsum(end - start))[np.searchsorted(kept, t.pages)].astype(np.int32)
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(body))
 
 
 def without_repeats(chunks: DataFrame, answers: DataFrame, least: int, mask: np.uint64) -> DataFrame:
     """page_id, url, text of the parsed pages: what their host doesn't repeat."""
 
     def strip(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for run in exchange.runs(parts, "chunk"):
             known, _, totals = exchange.replies(run)
             order = np.argsort(known)
@@ -305,13 +375,12 @@ def without_repeats(chunks: DataFrame, answers: DataFrame, least: int, mask: np.
                 return np.where(known[place] == keys & mask, totals[place], 1)  # noqa: B023
 
             pages = _opened(next(r["body"] for r in run if r["kind"] == 1))
-            texts = []
-            for host, kinds, blocks in zip(*(c.to_pylist() for c in pages.columns[2:]), strict=True):
-                own = hashes[host]
-                key, at = heads_of(own, blocks, hashes, least)
-                texts.append(text_of(kinds, blocks, at, held(key), int(held(np.array([own], np.uint64))[0]), least))
+            hosts, t = hosts_of(pages), tokens_of(pages.column("text"))
+            key, at, page = heads_of(t, hosts, least)
+            kinds = pages.column("kinds").flatten().to_numpy()
+            texts = texts_of(t, kinds, at, held(key), held(hosts)[page], least)
             yield pa.RecordBatch.from_arrays(
-                [pages.column(0), pages.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"]
+                [pages.column(0), pages.column(1), texts], names=["page_id", "url", "text"]
             )
 
     rows = chunks.unionByName(answers.filter("kind = 0").select("chunk", "kind", "n", "body"))
@@ -321,7 +390,7 @@ def without_repeats(chunks: DataFrame, answers: DataFrame, least: int, mask: np.
 def extract(pages: DataFrame, least: int = REPEAT) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
     size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    buckets, mask = max(1, -(-size // exchange.BUCKET_BYTES)), mask_for(size // 4)
+    buckets, mask = max(1, -(-size // BUCKET_BYTES)), mask_for(size // 4)
     chunks = materialise(parse(pages))
     before = shuffles(pages.sparkSession)
     answers = materialise(exchange.answered(heads(chunks, least, buckets, mask), buckets))
