@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm import decontam, langid, ngram_join, packing, toxicity
-from nearfield.llm.common import forget, free_name, give_back, materialise, remove, shared_folder, small_batches, table
+from nearfield.llm.common import forget, free_name, give_back, materialise, remove, rest, shared_folder, small_batches, table
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -28,13 +28,14 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def bounded(stage: Stage) -> Stage:
     """The stage with whole documents going to its Python workers in batches of a few MB. Before it begins, the driver
-    lets go of what the stage before left there: its memory is bounded too."""
+    and then the executors let go of what the stage before left there: their memory is bounded too."""
 
     @wraps(stage)
     def run_bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         small_batches(spark)
         forget()
         give_back()
+        rest(spark)
         return stage(spark, docs, sf_dir)
 
     return run_bounded

@@ -140,6 +140,17 @@ def give_back() -> None:
         pass
 
 
+def rest(spark: SparkSession) -> None:
+    """Lets executors give back what they don't use: their heaps, which else stay as large as they ever were beside the
+    Python workers, and the memory of these workers with the broadcasts that they had last.
+
+    A task for each core collects the garbage of its JVM; if cores are busy, an executor may be left out.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    collected = spark.range(0, cores, 1, cores).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("gc"))
+    collected.mapInArrow(lean(lambda parts: parts), "gc string").collect()
+
+
 def numbered(df: DataFrame, group: str, counted: str = "slot_in_task", task: str = "task_id", position: str = "position") -> DataFrame:
     """Adds `position`, gapless from 0 in each group, to rows that carry (task, group, number in that pair).
 
