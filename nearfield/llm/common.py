@@ -33,14 +33,15 @@ def shared_folder(spark: SparkSession) -> str:
 def materialise(df: DataFrame, group_bytes: int | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: the lineage ends there, columns still prune.
 
-    group_bytes is for long rows: readers hold a row group at a time, which else has a hundred rows at least.
+    group_bytes is for long rows: readers hold a row group at a time, which else has a hundred rows at least. Their values
+    are hardly ever the same, so no dictionary of them is tried.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/nearfield-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if group_bytes is not None:
         checks = ("parquet.block.size.row.check.min", "parquet.page.size.row.check.min")
-        writer = writer.options(**{"parquet.block.size": group_bytes, **dict.fromkeys(checks, 1)})
+        writer = writer.options(**{"parquet.block.size": group_bytes, **dict.fromkeys(checks, 1), "parquet.enable.dictionary": "false"})
     writer.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._nearfield_path = path

@@ -1,7 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 `build_index` cuts the documents into segments of a bounded number of words. A segment is one row: its documents,
-the sorted terms it holds, and for each term the sorted list of its positions. Positions count all words of a
+the terms it holds, and for each term the sorted list of its positions. Positions count all words of a
 segment, with a gap between documents, so that no phrase runs over a border. The index is an ordinary table.
 
 `search_index` takes the benchmark in blocks of a bounded size, one of which is held at a time. In each segment only
@@ -9,6 +9,8 @@ phrases whose terms it all holds are looked up, from the rarest term: the shorte
 and intersected first, so that most phrases end after one or two short lists. Nothing is shuffled but one small row
 for each document and block when there is more than one block.
 
+Both work on whole arrays: there is no Python step for a word or a phrase, only for a segment, a document and a match.
+
 Edge cases: null or wordless text gives n_words 0 and no match; an item without words has no window; an item
 shorter than a window is one window; items with the same id count as one; ties do not arise.
 """
@@ -26,7 +28,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import binary_text, lean, materialise
+from nearfield.llm.common import batches, binary_text, lean, materialise
 
 #: Lower-cases A-Z, keeps digits, letters and every byte above 127, and turns all else into a space.
 WORD_BYTES = bytes(
@@ -34,13 +36,20 @@ WORD_BYTES = bytes(
 )
 #: A segment is closed at so many words (one document is never cut, so a longer one is a segment of its own).
 SEGMENT_WORDS = 1 << 15
+#: And at so many bytes of words.
+SEGMENT_BYTES = 4 << 20
 #: Bytes of segments in one row group of the stored index.
 GROUP_BYTES = 4 << 20
+#: Text that is cut into words at a time.
+CHUNK_BYTES = 1 << 20
+#: Positions from which phrases are followed at a time (all of one phrase's, if it has more), and words of such phrases.
+STEP_POSITIONS = 1 << 18
 #: Benchmark text that one pass over the index takes.
 BLOCK_BYTES = 4 << 20
 
 INDEX_SCHEMA = (
-    "segment long, doc_ids binary, doc_starts binary, doc_words binary, terms array<binary>, ends binary, positions binary"
+    "segment long, doc_ids binary, doc_starts binary, doc_words binary, "
+    "terms binary, term_bytes binary, term_counts binary, positions binary"
 )
 HIT_SCHEMA = "segment long, place long, doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
@@ -49,52 +58,82 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
+def word_arrays(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts: their bytes without anything between, the size of each, and the words of each text."""
+    stream = np.frombuffer(b" ".join(texts).translate(WORD_BYTES), np.uint8)
+    inside = stream != 32
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    begins = edges[::2]
+    text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return stream[inside], edges[1::2] - begins, np.diff(np.searchsorted(begins, text_ends), prepend=0)
+
+
+def binary_array(sizes: np.ndarray, data: np.ndarray | pa.Buffer) -> pa.Array:
+    """The binary array of values of these sizes that lie one behind the other in data."""
+    ends = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def value_bytes(values: pa.Array) -> np.ndarray:
+    """The bytes of all values of a binary array without nulls, one behind the other."""
+    _, ends, data = values.buffers()
+    if not len(values) or data is None:
+        return np.empty(0, np.uint8)
+    ends = np.frombuffer(ends, np.int32)
+    return np.frombuffer(data, np.uint8)[ends[values.offset] : ends[values.offset + len(values)]]
+
+
 def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each segment; every document of `docs` is in exactly one segment."""
 
     def segments(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, starts, counts, stream, known = [], [], [], [], {}
-        at, segment = 0, TaskContext.get().partitionId() << 32
+        parts: list[tuple[np.ndarray, ...]] = []
+        at, held, segment = 0, 0, TaskContext.get().partitionId() << 32
 
         def close() -> pa.RecordBatch:
-            codes = np.concatenate(stream) if stream else np.empty(0, np.int32)
-            places = np.concatenate([np.arange(s, s + n) for s, n in zip(starts, counts, strict=True)]).astype(np.int32)
-            terms = sorted(known)
-            rank = np.empty(len(terms), np.int32)
-            for k, term in enumerate(terms):
-                rank[known[term]] = k
-            codes = rank[codes] if len(terms) else codes
-            order = np.argsort(codes, kind="stable")
-            ends = np.cumsum(np.bincount(codes, minlength=len(terms)))
-            column = lambda values, kind: np.asarray(values, kind).tobytes()
-            return pa.RecordBatch.from_pydict(
-                {
-                    "segment": pa.array([segment], pa.int64()),
-                    "doc_ids": pa.array([column(ids, np.int64)], pa.binary()),
-                    "doc_starts": pa.array([column(starts, np.int64)], pa.binary()),
-                    "doc_words": pa.array([column(counts, np.int64)], pa.binary()),
-                    "terms": pa.array([terms], pa.list_(pa.binary())),
-                    "ends": pa.array([column(ends, np.int64)], pa.binary()),
-                    "positions": pa.array([places[order].tobytes()], pa.binary()),
-                }
-            )
-
-        for batch in rows:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = words_of(text.as_py())
-                if ids and at + len(words) > SEGMENT_WORDS:
+            ids, counts, sizes, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+            words = binary_array(sizes, data).dictionary_encode()
+            codes, terms = words.indices.to_numpy(), words.dictionary
+            places = np.arange(len(codes)) + np.repeat(np.arange(len(ids)), counts)
+            # 16 bits are sorted by digits, and hold every position but of very long documents
+            order = np.argsort(codes.astype(np.uint16) if len(terms) <= 1 << 16 else codes, kind="stable")
+            places = places.astype(np.uint16 if not len(places) or places[-1] < 1 << 16 else np.int32)
+            columns = {
+                "doc_ids": ids,
+                "doc_starts": np.cumsum(counts + 1) - counts - 1,
+                "doc_words": counts,
+                "terms": value_bytes(terms),
+                "term_bytes": pc.binary_length(terms).to_numpy(),
+                "term_counts": np.bincount(codes, minlength=len(terms)).astype(np.int32),
+                "positions": places[order],
+            }
+            cells = {k: pa.array([v.tobytes()], pa.binary()) for k, v in columns.items()}
+            return pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int64())} | cells)
+
+        for texts, doc_ids in batches(rows, ["text", "doc_id"], CHUNK_BYTES):
+            data, sizes, counts = word_arrays(texts)
+            ids = np.asarray(doc_ids, np.int64)
+            words_to, bytes_to = np.append(0, np.cumsum(counts)), np.append(0, np.cumsum(sizes))
+            places_to = words_to + np.arange(len(words_to))  # with a gap after each document
+            data_to = bytes_to[words_to]
+            first = 0
+            while first < len(ids):
+                last = min(
+                    int(np.searchsorted(places_to[1:] - 1, SEGMENT_WORDS - at + places_to[first], side="right")),
+                    int(np.searchsorted(data_to[1:], SEGMENT_BYTES - held + data_to[first], side="right")),
+                )
+                last = max(last, first if parts else first + 1)
+                if last > first:
+                    words, its = slice(words_to[first], words_to[last]), slice(data_to[first], data_to[last])
+                    parts.append((ids[first:last], counts[first:last], sizes[words], data[its]))
+                    at += int(places_to[last] - places_to[first])
+                    held += int(data_to[last] - data_to[first])
+                if last < len(ids):
                     yield close()
-                    ids, starts, counts, stream, known = [], [], [], [], {}
-                    at, segment = 0, segment + 1
-                ids.append(doc_id)
-                starts.append(at)
-                counts.append(len(words))
-                if words:
-                    for word in set(words).difference(known):
-                        known[word] = len(known)
-                    stream.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
-                at += len(words) + 1
-        if ids:
+                    parts, at, held, segment = [], 0, 0, segment + 1
+                first = last
+        if parts:
             yield close()
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), binary_text(text_column).alias("text")).mapInArrow(
@@ -117,18 +156,48 @@ def windows_of(items: list[tuple[str, bytes]], width: int) -> list[tuple[list[by
     return [(list(k), sorted(v)) for k, v in found.items()]
 
 
-def phrase_starts(lists: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """Where a phrase begins: offset-adjusted lists intersected from the shortest."""
-    lists = sorted(lists, key=lambda x: len(x[1]))
-    offset, first = lists[0]
-    starts = first - offset
-    for offset, other in lists[1:]:
-        at = np.searchsorted(other, starts + offset)
-        at[at == len(other)] = 0
-        starts = starts[other[at] == starts + offset]
-        if not len(starts):
-            break
-    return starts
+class Lists:
+    """The positions of a segment's terms: `keys` are sorted, a term's rank in the upper part, the position in the lower."""
+
+    def __init__(self, counts: np.ndarray, positions: np.ndarray) -> None:
+        self.counts, self.ends = counts, np.cumsum(counts, dtype=np.int64)
+        self.positions, self.size = positions, int(positions.max(initial=0)) + 1
+        self.keys = np.repeat(np.arange(len(counts)) * self.size, counts) + positions
+
+    def of(self, rank: int) -> np.ndarray:
+        return self.positions[self.ends[rank] - self.counts[rank] : self.ends[rank]].astype(np.int64)
+
+
+def phrase_starts(phrases: np.ndarray, lists: Lists) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Which phrases (rows of ranks) begin where: the lists of each, shifted by their offsets, are intersected from the
+    shortest, those of many phrases at once."""
+    rows = np.arange(len(phrases))
+    order = np.argsort(lists.counts[phrases], axis=1, kind="stable")
+    rarest = phrases[rows, order[:, 0]]
+    sizes = lists.counts[rarest].astype(np.int64)
+    room = np.cumsum(sizes)
+    at = 0
+    while at < len(phrases):
+        before = room[at] - sizes[at]
+        stop = max(at + 1, int(np.searchsorted(room, before + STEP_POSITIONS, side="right")))
+        part = slice(at, stop)
+        which = np.repeat(rows[part], sizes[part])
+        shift = np.repeat(lists.ends[rarest[part]] - room[part] + before, sizes[part])
+        starts = lists.positions[np.arange(len(which)) + shift].astype(np.int64) - order[which, 0]
+        keep = starts >= 0
+        which, starts = which[keep], starts[keep]
+        for turn in range(1, phrases.shape[1]):
+            offset = order[which, turn]
+            places = starts + offset
+            wanted = phrases[which, offset] * lists.size + places
+            found = lists.keys[np.minimum(np.searchsorted(lists.keys, wanted), len(lists.keys) - 1)]
+            keep = (found == wanted) & (places < lists.size)
+            which, starts = which[keep], starts[keep]
+            if not len(starts):
+                break
+        if len(starts):
+            yield which, starts
+        at = stop
 
 
 def near_spans(lists: list[tuple[int, np.ndarray]], slop: int) -> list[tuple[int, int]]:
@@ -178,8 +247,9 @@ class Block:
             ends = np.cumsum(np.bincount(pairs[:, 0], minlength=len(first)))
             self.groups.append((k, begin[mine][first], ends, pairs[:, 1]))
 
-    def possible(self, terms: pa.Array) -> Iterator[tuple[np.ndarray, list[str]]]:
-        """For each window whose words are all among the terms: their places there, and the ids of its items."""
+    def possible(self, terms: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each width the windows whose words are all among the terms, some at a time: their places there and their
+        numbers, and the ends of all windows' items with these items."""
         place = pc.index_in(pa.array(self.terms, terms.type), value_set=terms)
         place = place.fill_null(-1).to_numpy(zero_copy_only=False)
         ranks = place[self.stream]
@@ -187,44 +257,55 @@ class Block:
             alive = np.arange(len(starts))
             for offset in range(k):
                 alive = alive[ranks[starts[alive] + offset] >= 0]
-            for w in alive.tolist():
-                owners = items[(ends[w - 1] if w else 0) : ends[w]]
-                yield ranks[starts[w] : starts[w] + k], [self.names[i] for i in owners]
+            step = max(1, STEP_POSITIONS // k)
+            for at in range(0, len(alive), step):
+                some = alive[at : at + step]
+                yield ranks[starts[some][:, None] + np.arange(k)].astype(np.int64), some, ends, items
+
+
+def _matches(phrases: np.ndarray, lists: Lists, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of phrases, and where each of their matches begins and ends."""
+    if not slop:
+        for which, starts in phrase_starts(phrases, lists):
+            yield which, starts, starts + phrases.shape[1]
+        return
+    for row, ranks in enumerate(phrases.tolist()):
+        found = np.array(near_spans([(o, lists.of(r)) for o, r in enumerate(ranks)], slop), np.int64).reshape(-1, 2)
+        yield np.full(len(found), row), found[:, 0], found[:, 1]
 
 
 def _search_block(index: DataFrame, shared: Broadcast, slop: int) -> DataFrame:
     def search(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for row in range(batch.num_rows):
-                cell = {n: np.frombuffer(batch.column(n)[row].as_buffer(), np.int64) for n in ("doc_ids", "doc_starts", "doc_words", "ends")}
-                ids, starts, counts, ends = cell.values()
-                positions = np.frombuffer(batch.column("positions")[row].as_buffer(), np.int32)
-                spans: dict[int, list] = {}
-                items: dict[int, set] = {}
-                for ranks, owners in shared.value.possible(batch.column("terms")[row].values):
-                    lists = [(o, positions[(ends[r - 1] if r else 0) : ends[r]]) for o, r in enumerate(ranks.tolist())]
-                    if slop:
-                        found = near_spans(lists, slop)
-                    else:
-                        found = [(s, s + len(ranks)) for s in phrase_starts(lists).tolist()]
-                    for start, end in found:
-                        doc = int(np.searchsorted(starts, start, side="right")) - 1
-                        if slop and end > starts[doc] + counts[doc]:
-                            continue
-                        spans.setdefault(doc, []).append((int(start - starts[doc]), int(end - starts[doc])))
-                        items.setdefault(doc, set()).update(owners)
-                merged = [_union(spans.get(k, [])) for k in range(len(ids))]
+                cell = {n: batch.column(n)[row].as_buffer() for n in batch.schema.names if n != "segment"}
+                ids, starts, counts = (np.frombuffer(cell[n], np.int64) for n in ("doc_ids", "doc_starts", "doc_words"))
+                term_counts = np.frombuffer(cell["term_counts"], np.int32)
+                narrow = cell["positions"].size == 2 * term_counts.sum()
+                lists = Lists(term_counts, np.frombuffer(cell["positions"], np.uint16 if narrow else np.int32))
+                terms = binary_array(np.frombuffer(cell["term_bytes"], np.int32), cell["terms"])
+                spans = np.empty((0, 2), np.int64)
+                items: dict[int, set[int]] = {}
+                for phrases, windows, owner_ends, owners in shared.value.possible(terms):
+                    for which, begin, end in _matches(phrases, lists, slop):
+                        doc = np.searchsorted(starts, begin, side="right") - 1
+                        inside = end <= starts[doc] + counts[doc]
+                        spans = _union(np.concatenate([spans, np.stack([begin[inside], end[inside]], 1)]))
+                        for pair in np.unique(doc[inside] * len(owner_ends) + windows[which[inside]]).tolist():
+                            k, w = divmod(pair, len(owner_ends))
+                            items.setdefault(k, set()).update(owners[(owner_ends[w - 1] if w else 0) : owner_ends[w]].tolist())
+                of = np.searchsorted(starts, spans[:, 0], side="right") - 1
+                own = spans - starts[of][:, None]
+                struct = pa.StructArray.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1])], names=["start", "end"])
+                names = shared.value.names
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([batch.column("segment")[row].as_py()] * len(ids), pa.int64()),
                         pa.array(range(len(ids)), pa.int64()),
                         pa.array(ids),
                         pa.array(counts),
-                        pa.array(
-                            [[{"start": s, "end": e} for s, e in x] for x in merged],
-                            pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])),
-                        ),
-                        pa.array([sorted(items.get(k, ())) for k in range(len(ids))], pa.list_(pa.string())),
+                        pa.ListArray.from_arrays(np.searchsorted(of, np.arange(len(ids) + 1)).astype(np.int32), struct),
+                        pa.array([sorted(names[i] for i in items.get(k, ())) for k in range(len(ids))], pa.list_(pa.string())),
                     ],
                     names=["segment", "place", "doc_id", "n_words", "spans", "items"],
                 )
@@ -232,14 +313,13 @@ def _search_block(index: DataFrame, shared: Broadcast, slop: int) -> DataFrame:
     return index.mapInArrow(lean(search), HIT_SCHEMA)
 
 
-def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    merged: list[tuple[int, int]] = []
-    for start, end in sorted(spans):
-        if merged and start <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
-        else:
-            merged.append((start, end))
-    return merged
+def _union(spans: np.ndarray) -> np.ndarray:
+    """Rows of begin and end, sorted, with those that touch made one. No two documents of a segment touch."""
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(spans[:, 1])
+    fresh = np.append(True, spans[1:, 0] > reach[:-1])[: len(spans)]
+    last = np.append(fresh[1:], True)[: len(spans)]
+    return np.stack([spans[fresh, 0], reach[last]], 1)
 
 
 def search_index(
